@@ -238,3 +238,15 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, doc_id: str
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(read(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: one document of each group stays, that of the least doc_id (of several rows with
+    this id, the one whose text hash and row come first). Groups: shingles of five words, similarity 0.8.
+    Documents without words, or without an id, are in no group and stay, repeated rows of them too."""
+    groups = join(docs, k=5, num=80, den=100)
+    first = groups.select("doc_id", "component_id", "n_shingles").where("doc_id is not null and n_shingles > 0 and doc_id != component_id").select("doc_id").distinct()
+    rest = docs.join(first.select(F.col("doc_id").alias("__gone")), docs["doc_id"] == F.col("__gone"), "left_anti")
+    whole = F.col("doc_id").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*[f"`{c}`" for c in docs.columns]))
+    return rest.where(~whole).unionByName(rest.where(whole).withColumn("__row", F.row_number().over(once)).where("__row = 1").drop("__row"))

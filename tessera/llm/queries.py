@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import langid
+from tessera.llm import langid, ngram_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,
     "op8_language_id": langid.op8_language_id,
 }
 
