@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import langid, ngram_join
+from tessera.llm import langid, ngram_join, packing, pii
 from tessera.llm.common import read, work_table
 
 STAGES = [
     ("language_id", langid.stage),
     ("near_duplicates", ngram_join.stage),
+    ("pii", pii.stage),
+    ("packing", packing.stage),
 ]
 
 #: Compression, metric joins and packing plans are beyond SQL; tests hold the stages against plain Python.

@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import langid, ngram_join
+from tessera.llm import ann, langid, ngram_join, packing, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_inverted_multi_index": ann.op3_inverted_multi_index,
+    "op5_pii_sanitisation": pii.op5_pii_sanitisation,
     "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,
     "op8_language_id": langid.op8_language_id,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
