@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ann, langid, ngram_join, packing, pii
+from tessera.llm import ann, chat, langid, licences, media, ngram_join, packing, pages, pieces, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licence_scan": licences.op1_licence_scan,
+    "op2_sentencepiece_sampling": pieces.op2_sentencepiece_sampling,
     "op3_inverted_multi_index": ann.op3_inverted_multi_index,
+    "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_pii_sanitisation": pii.op5_pii_sanitisation,
+    "op6_media_columns": media.op6_media_columns,
     "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,
     "op8_language_id": langid.op8_language_id,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_html_extraction": pages.op10_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {}
