@@ -88,7 +88,7 @@ def merge(a: dict | None, b: dict | None) -> dict | None:
 
 
 def condition(spec: dict, context: Context) -> Column:
-    if set(spec) & {"must", "should", "must_not", "min_should"}:
+    if not spec or set(spec) & {"must", "should", "must_not", "min_should"}:
         return compile_filter(spec, context)
     if "has_id" in spec:
         ids = spec["has_id"]
