@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,9 +33,19 @@ class Tokenizer:
         if self.kind not in ("word", "whitespace", "prefix"):
             raise ValueError(f"no tokenizer of this name: {self.kind}")
 
-    def _words(self, text: Column, stopwords: bool = True) -> Column:
+    def plain(self, text: Column) -> Column:
+        """The text as its tokens are spelled, before they are split."""
         text = F.translate(text, *_ACCENTS) if self.ascii_folding else text
-        text = F.lower(text) if self.lowercase else text
+        return F.lower(text) if self.lowercase else text
+
+    def may_hold(self, text: Column, query: list[str]) -> Column:
+        """False only for texts that hold no token of the query: a substring test before any splitting."""
+        if self.stemmer is not None or not query:
+            return F.lit(bool(query))
+        return reduce(lambda a, b: a | b, [F.contains(self.plain(text), F.lit(w)) for w in query])
+
+    def _words(self, text: Column, stopwords: bool = True) -> Column:
+        text = self.plain(text)
         words = F.split(text, r"\s+" if self.kind == "whitespace" else f"[^{_ALNUM}]+")
         words = F.filter(words, lambda w: w != "")
         if self.stopwords and stopwords:
@@ -118,7 +129,7 @@ def bm25_search(docs: DataFrame, id_col: str, text: str, query: str, tokenizer:
     """id and score of the documents that share a token with the query. The query's tokens are literals,
     so that only matching tokens leave the scan; with idf, document frequencies come from the same rows."""
     wanted = list(dict.fromkeys(tokenizer.query(query)))
-    tokens = docs.select(F.col(id_col).alias("id"), tokenizer.document(F.col(text)).alias("tokens"))
+    tokens = docs.where(tokenizer.may_hold(F.col(text), wanted)).select(F.col(id_col).alias("id"), tokenizer.document(F.col(text)).alias("tokens"))
     rows = tokens.select("id", F.size("tokens").alias("length"), F.filter("tokens", lambda t: t.isin(wanted) if wanted else F.lit(False)).alias("hits"))
     matched = rows.where(F.size("hits") > 0).select("id", "length", F.explode("hits").alias("token")).groupBy("id", "length", "token").agg(F.count("*").alias("tf"))
     matched = matched.withColumn("w", bm25_weight(F.col("tf"), F.col("length"), **params))

@@ -190,7 +190,7 @@ def _match(values: Values, arg: dict, tokenizer: text.Tokenizer | None) -> Colum
         return values.any(lambda x, t: _if(_as(x, t, "string"), lambda v: F.contains(v, F.lit(given))))
     query = tokenizer.query(given)
     test = {"text": text.has_all, "text_any": text.has_any, "phrase": text.has_phrase}[kind]
-    return values.any(lambda x, t: _if(_as(x, t, "string"), lambda v: test(tokenizer.document(v), query)))
+    return values.any(lambda x, t: _if(_as(x, t, "string"), lambda v: tokenizer.may_hold(v, query) & test(tokenizer.document(v), query)))
 
 
 _COMPARE = {"lt": lambda a, b: a < b, "lte": lambda a, b: a <= b, "gt": lambda a, b: a > b, "gte": lambda a, b: a >= b}
