@@ -45,11 +45,11 @@ from tessera.llm.shingles import fingerprint, mix, sets_of
 #: Any such list gives exact results; it only moves work away from regions that many documents share.
 HOT_LEAST, HOT_MOST, HOT_PART = 64, 1 << 16, 3
 SUMMARY = 1 << 22
-#: Bits of a sketch.
-SKETCH = 1024
+#: Bits of a sketch, and of the second one of sets with more than SKETCH shingles.
+SKETCH, WIDE = 1024, 8192
 #: Members of a region that are compared without splitting it again, and how deep regions are split.
 #: Linked sets that differ have num / (den - num) shingles in common at least, so DEPTH may be that.
-REGION, DEPTH = 256, 3
+REGION, DEPTH = 1024, 3
 
 
 def frequent_shingles(docs: DataFrame, text: str, k: int) -> np.ndarray:
@@ -96,15 +96,15 @@ def window(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def sketch_of(s: np.ndarray) -> np.ndarray:
-    """Bits that shingles hit. Bits that differ between two sets are no more than shingles that differ."""
-    bits = np.zeros(SKETCH, bool)
-    bits[(mix(s, 3) % np.uint64(SKETCH)).astype(np.int64)] = True
-    return np.packbits(bits).view(np.int64)
+def sketch_of(s: np.ndarray, bits: int = SKETCH) -> np.ndarray:
+    """For each bit the parity of the shingles that hit it: bits in which two sketches differ are no more
+    than shingles in which the sets differ (an odd sketch), and do not fill up as the sets grow."""
+    hits = np.bincount((mix(s, 3) % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits((hits & 1).astype(bool)).view(np.int64)
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
-    """doc_id, n, fp1, fp2, prefix, cold (of the prefix), sketch; a row for each row of docs."""
+    """doc_id, n, fp1, fp2, prefix, cold (of the prefix), sketch, wide; a row for each row of docs."""
     blob = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,15 +112,15 @@ def signatures(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: i
             ids, rows = batch.column(0), []
             for i, s in enumerate(sets_of(batch.column(1), k)):
                 p, cold = prefix_of(s, blob.value, num, den) if len(s) else (s, 0)
-                rows.append((ids[i], len(s), *fingerprint(s), p.view(np.int64), cold, sketch_of(s)))
+                rows.append((ids[i], len(s), *fingerprint(s), p.view(np.int64), cold, sketch_of(s), sketch_of(s, WIDE) if len(s) > SKETCH else None))
                 if len(rows) >= 2000 or i + 1 == len(ids):
                     c = list(zip(*rows, strict=True))
                     ends = np.cumsum([0, *map(len, c[4])])
                     prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(c[4])))
-                    yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in c[0]], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), prefix, pa.array(c[5], pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * (SKETCH // 64), pa.int32()), pa.array(np.concatenate(c[6])))], names=["doc_id", "n", "fp1", "fp2", "prefix", "cold", "sketch"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in c[0]], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), prefix, pa.array(c[5], pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * (SKETCH // 64), pa.int32()), pa.array(np.concatenate(c[6]))), pa.array(c[7], pa.list_(pa.int64()))], names=["doc_id", "n", "fp1", "fp2", "prefix", "cold", "sketch", "wide"])
                     rows = []
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, prefix array<long>, cold int, sketch array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, prefix array<long>, cold int, sketch array<long>, wide array<long>")
 
 
 def full_sets(docs: DataFrame, doc_id: str, text: str, k: int, wanted: DataFrame) -> DataFrame:
@@ -144,7 +144,8 @@ def full_sets(docs: DataFrame, doc_id: str, text: str, k: int, wanted: DataFrame
 def _apart(a: str, b: str):
     """A lower bound of the number of shingles in which two sets differ: by their sketches and sizes."""
     bits = reduce(add, [F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH // 64)])
-    return F.greatest(bits.cast("long"), F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")))
+    wide = F.expr(f"case when {a}.wide is not null and {b}.wide is not null then aggregate(zip_with({a}.wide, {b}.wide, (p, q) -> bit_count(p ^ q)), 0, (t, v) -> t + v) else 0 end")
+    return F.greatest(bits.cast("long"), wide.cast("long"), F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")))
 
 
 def _distance(apart, total):
@@ -165,7 +166,7 @@ def links(sig: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, num:
     """classes (fp1, fp2, n, rep) and components (node, component) of their linked reps; see the top."""
     least = -(-num // (den - num))  # smaller sets are linked with equal ones only
     threshold = 1.0 - num / den + 1e-9
-    grouped = sig.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("cold").alias("cold"), F.first("sketch").alias("sketch"))
+    grouped = sig.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("cold").alias("cold"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
     classes = work_table(grouped, "classes")
     nodes = classes.where(f"rep is not null and n >= {least}")
     width = F.expr(f"n - cast(ceil({num} * n / {den}) as long) + 1")
@@ -180,7 +181,7 @@ def links(sig: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, num:
     regions = work_table(cold.unionByName(hot).drop("last"), "regions")
 
     # distances to the pivots: bounds by sketches, exact where these leave it open
-    side = nodes.select(F.col("rep"), F.struct("n", "sketch").alias("x"))
+    side = nodes.select(F.col("rep"), F.struct("n", "sketch", "wide").alias("x"))
     star = regions.where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
     star = star.join(side.toDF("a", "x"), "a").join(side.toDF("b", "y"), "b")
     total = F.col("x.n") + F.col("y.n")
