@@ -141,11 +141,13 @@ def full_sets(docs: DataFrame, doc_id: str, text: str, k: int, wanted: DataFrame
     return rows.join(wanted, "id", "left_semi").mapInArrow(run, "id long, fp1 long, s array<long>")
 
 
-def _apart(a: str, b: str):
+def _apart(a: str, b: str, wide: bool = True):
     """A lower bound of the number of shingles in which two sets differ: by their sketches and sizes."""
     bits = reduce(add, [F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH // 64)])
-    wide = F.expr(f"case when {a}.wide is not null and {b}.wide is not null then aggregate(zip_with({a}.wide, {b}.wide, (p, q) -> bit_count(p ^ q)), 0, (t, v) -> t + v) else 0 end")
-    return F.greatest(bits.cast("long"), wide.cast("long"), F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")))
+    if not wide:
+        return F.greatest(bits.cast("long"), F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")))
+    more = F.expr(f"case when {a}.wide is not null and {b}.wide is not null then aggregate(zip_with({a}.wide, {b}.wide, (p, q) -> bit_count(p ^ q)), 0, (t, v) -> t + v) else 0 end")
+    return F.greatest(bits.cast("long"), more.cast("long"), F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")))
 
 
 def _distance(apart, total):
@@ -196,20 +198,20 @@ def links(sig: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, num:
     far = star.where(f"not ({open_})").select("a", "b", _distance(F.col("apart"), F.col("total")).alias("lo"), F.lit(1.0).alias("hi"))
     d = _distance(F.col("total") - 2 * F.col("common"), F.col("total"))
     known = exact.select("a", "b", d.alias("lo"), d.alias("hi")).unionByName(far)
-    grouped = regions.join(first.select(F.col("node").alias("rep"), F.col("component").alias("g")), "rep", "left").withColumn("g", F.coalesce("g", "rep"))
+    # the pivots themselves have met everyone; a region of two is done
+    grouped = regions.where("rep != pivot").join(first.select(F.col("node").alias("rep"), F.col("component").alias("g")), "rep", "left").withColumn("g", F.coalesce("g", "rep"))
     level, found = grouped.select("cell", "rep", "pos", "g", "pivot"), []
     for depth in range(1, DEPTH + 1):
         mixed = level.groupBy("cell").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("size")).where("g0 < g1")
         level = work_table(level.join(mixed.select("cell", "size"), "cell"), f"mixed-{depth}")
         here = level if depth == DEPTH else level.where(f"size <= {REGION}")
-        here = here.where("rep != pivot")
         if depth == 1:  # sub-regions have the pivot of the region that they split
             known = known.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "lo", "hi")
-        here = here.join(known, ["rep", "pivot"]).join(side, "rep")
+        here = here.join(known, ["rep", "pivot"]).join(side.select("rep", F.struct("x.n", "x.sketch").alias("x")), "rep")
         members = here.select("cell", "g", "lo", "hi", F.col("rep").alias("id"), "x")
         p, q = members.alias("p"), members.select("cell", *[F.col(c).alias(c + "2") for c in ("g", "lo", "hi", "id")], F.col("x").alias("y"))
         fits = F.expr(f"id < id2 and g != g2 and lo - hi2 <= {threshold} and lo2 - hi <= {threshold} and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num}")
-        near = _apart("x", "y") * (den + num) <= (F.col("x.n") + F.col("y.n")) * (den - num)
+        near = _apart("x", "y", wide=False) * (den + num) <= (F.col("x.n") + F.col("y.n")) * (den - num)
         pairs = p.join(q, (p["cell"] == q["cell"]) & fits & near).select(F.col("id").alias("a"), F.col("id2").alias("b"), (F.col("x.n") + F.col("y.n")).alias("total"))
         found.append(pairs)
         if depth < DEPTH:
@@ -219,7 +221,8 @@ def links(sig: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, num:
             inner = nodes.select("rep", width.alias("w"), F.posexplode("prefix").alias("next", "s"))
             inner = inner.where(f"next < w + {depth}")
             level = large.join(inner, "rep").where("next > pos").select(F.xxhash64("cell", "s").alias("cell"), "rep", F.col("next").alias("pos"), "g", "pivot")
-    more = work_table(reduce(DataFrame.unionByName, found).distinct(), "pairs")
+    pairs = reduce(DataFrame.unionByName, found).distinct().join(side.toDF("a", "x"), "a").join(side.toDF("b", "y"), "b")
+    more = work_table(pairs.where(_apart("x", "y") * (den + num) <= F.col("total") * (den - num)).select("a", "b", "total"), "pairs")
     if not more.isEmpty():
         more = _verified(more, classes, docs, doc_id, text, k).where(linked).select("a", "b")
         first = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
