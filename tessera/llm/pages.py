@@ -51,9 +51,11 @@ SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|([^>]*)>)", re.S)
 _RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+#: A name that begins so is marked, whatever follows.
+_BEGINNINGS = ("advert", "breadcrumb", "comment", "cookie", "navbar", "newsletter", "sidebar", "sponsor")
 #: Class names such as no-sidebar say what a page lacks or has, not what an element is.
 _STATES = frozenset("no has with without is".split())
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -74,7 +76,7 @@ def _marked(attributes: str) -> bool:
         if name in ("class", "id"):
             for word in value.split():
                 parts = _NAME.findall(word)
-                if parts and parts[0] not in _STATES and (parts[0] in NO_CONTENT_NAMES or parts[-1] in NO_CONTENT_NAMES):
+                if parts and parts[0] not in _STATES and (parts[0] in NO_CONTENT_NAMES or parts[-1] in NO_CONTENT_NAMES or parts[0].startswith(_BEGINNINGS)):
                     return True
     return False
 

@@ -530,6 +530,7 @@ FRAME = '<html><head><title>t</title><style>p{{}}</style></head><body><nav><a>Ho
         ("plain  text", "plain text"), ("", ""), ("<p>a<p>b</b></div>c<!-- x", "a\nbc"), ("a &lt; b &amp; &eacute;", "a < b & é"), ("a < b", "a < b"),
         ("<article><h1>T &amp; U</h1><p><b>x  y\n z<br><p>q</p><form><input><p>no</form><ul><li>one<li>two</ul></article><p>after", "T & U\nx y z\nq\none\ntwo"),
         ("<div class='content no-sidebar'>k<div id=comments>c</div><aside>s</aside></div>", "k"), ("<p hidden>x</p><p>y</p>", "y"), ("<main><p>m</p></main><p>n", "m"),
+        ("<p title='hidden class=ad'>x</p><p data-id=ad>y</p><p class=cookiebar>z</p><p CLASS='a site-notice b'>w</p>", "x\ny"),
         ("<script>if (a < b) '<p>'</script>t<style>", "t"), ("<p title='a>b' class=\"ok\">z", "z"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"), ("<p>" * 3000 + "deep", "deep"), ("<div>" * 5000 + "deep", "deep"),
     ],
 )
