@@ -1,16 +1,15 @@
 """Operator 5, PII by information-theoretic sanitisation, in DataFrame functions only.
 
 Base entities are found by patterns (email, ip, card, phone). How strongly a term reveals an entity is
-estimated from the corpus: with N distinct texts, n(e) of them with entity e, n(t) with term t, and n(e,t)
-with t inside the window of characters around e,
+estimated from the corpus: with N documents, n(e) of them with entity e, n(t) with term t, and n(e,t) with
+t inside the window of characters around e,
 
     disclosure(e, t) = log2(N n(e,t) / (n(e) n(t))) / log2(N / n(e)),
 
 the pointwise mutual information as a share of the entity's information content; 1 means that t occurs
-with e alone. Terms of SUPPORT common texts at least are generalised from GENERALISE on and removed from
-REMOVE on, wherever they stand in the window of that entity.
-
-All counts are over distinct texts of the whole corpus, so that copies are no evidence. Matches and their
+with e alone. Terms that share SUPPORT different texts with the entity at least (copies of one text are no
+evidence) are generalised from GENERALISE on and removed from REMOVE on, wherever they stand in the window
+of that entity. All counts are over all documents, and combined in the map tasks. Matches and their
 places come from one matching rule: split() gives the gaps between the matches of regexp_extract_all().
 
 Defined cases: null text counts as empty; repeated rows give equal rows; ids may be null or repeated
@@ -120,19 +119,17 @@ def revealing_terms(docs: DataFrame, based: DataFrame, text: str, window: int =
     """h1, h2, terms: for each distinct text, the spans (start, end, disclosure) of terms that reveal an
     entity that it mentions. based: a stored result of with_base()."""
     key = ["h1", "h2"]
-    mention = based.where(F.size("mentions") > 0).groupBy(*key).agg(F.first("mentions").alias("m")).select(*key, F.explode("m").alias("m")).select(*key, "m.*")
+    mention = based.where(F.size("mentions") > 0).groupBy(*key).agg(F.first("mentions").alias("m"), F.count("*").alias("docs")).select(*key, "docs", F.explode("m").alias("m")).select(*key, "docs", "m.*")
     left = F.transform(located(F.col("left"), _WORD), lambda w: F.struct(F.lower(w["value"]).alias("term"), (F.col("start") - F.length("left") + w["start"]).alias("start"), (F.col("start") - F.length("left") + w["end"]).alias("end")))
     right = F.transform(located(F.col("right"), _WORD), lambda w: F.struct(F.lower(w["value"]).alias("term"), (F.col("end") + w["start"]).alias("start"), (F.col("end") + w["end"]).alias("end")))
-    near = work_table(mention.select(*key, "entity", F.explode(F.concat(left, right)).alias("w")).select(*key, "entity", "w.*"), "near")
-    joint = near.select("entity", "term", *key).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    entities = mention.select("entity", *key).distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    near = work_table(mention.select(*key, "docs", "entity", F.explode(F.concat(left, right)).alias("w")).select(*key, "docs", "entity", "w.*"), "near")
+    texts = lambda name: [F.count("*").alias("texts"), F.sum("docs").alias(name)]
+    joint = near.select("entity", "term", "docs", *key).distinct().groupBy("entity", "term").agg(*texts("n_et")).where(F.col("texts") >= support).drop("texts")
+    entities = mention.select("entity", "docs", *key).distinct().groupBy("entity").agg(*texts("n_e")).where(F.col("texts") >= support).drop("texts")
     joint = work_table(joint.join(entities, "entity"), "joint")
     words = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), r"[^\p{L}]+"))
-    wanted = joint.select("term").distinct()
-    # texts that hold a wanted term, each distinct text once
-    holding = docs.select(F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("h1"), F.explode(words).alias("term")).join(wanted, "term", "left_semi")
-    terms = holding.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    everything = based.select(*key).distinct().agg(F.count("*").alias("n_all"))
+    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    everything = based.agg(F.count("*").alias("n_all"))
     scored = joint.join(terms, "term").crossJoin(F.broadcast(everything))  # one row
     disclosure = F.log2(F.col("n_all") * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log2(F.col("n_all") / F.col("n_e"))
     flagged = scored.where("n_all > n_e").select("entity", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= generalise)
