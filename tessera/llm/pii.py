@@ -129,8 +129,7 @@ def revealing_terms(docs: DataFrame, based: DataFrame, text: str, window: int =
     joint = work_table(joint.join(entities, "entity"), "joint")
     words = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), r"[^\p{L}]+"))
     terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    everything = based.agg(F.count("*").alias("n_all"))
-    scored = joint.join(terms, "term").crossJoin(F.broadcast(everything))  # one row
+    scored = joint.join(terms, "term").withColumn("n_all", F.lit(based.count()))
     disclosure = F.log2(F.col("n_all") * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log2(F.col("n_all") / F.col("n_e"))
     flagged = scored.where("n_all > n_e").select("entity", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= generalise)
     found = near.join(flagged, ["entity", "term"]).groupBy(*key, "start", "end").agg(F.max("disclosure").alias("disclosure"))
