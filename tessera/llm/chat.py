@@ -13,9 +13,9 @@ Equal costs are settled by the order keep, merge, insert, relabel, at the latest
 sequence is rendered turn by turn; the pieces of a conversation in order, joined, are its text.
 
 A step of the program is a 4 x 4 matrix in the (min, +) algebra, so a conversation need not fit one task:
-rows are cut by range into blocks of about `BLOCK` turns, each block of a conversation gives one matrix,
-the matrices of a conversation settle the states between its blocks, and each block is then repaired on
-its own between its two states.
+rows are cut by range into blocks of about `BLOCK` turns; of a conversation that goes beyond one block each
+block gives one matrix, these settle the states between the blocks, and every block is then repaired on its
+own, conversation by conversation in one stream, between the states it has.
 
 Defined cases: turns are ordered by turn (null first), then role and text (nulls first); equal rows are
 turns of their own; a null text is empty, a null or unknown role must be relabelled or merged; rows with
@@ -24,10 +24,15 @@ null conv_id make one conversation; an empty table gives no rows. Columns beside
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.llm.common import read, work_table
 
@@ -37,7 +42,7 @@ MERGE_SAME, MERGE_OTHER, INSERT, RELABEL_UNKNOWN, RELABEL = 1, 4, 2, 1, 3
 START, SYSTEM, USER, ASSISTANT = range(4)
 #: From each state the roles that may come next.
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
-BLOCK = 20_000
+BLOCK = 5_000
 INF = 1 << 40
 KINDS = ("keep", "merge", "insert", "relabel")
 
@@ -160,8 +165,38 @@ def _blocks(df: DataFrame, conv: str, turn: str, role: str, text: str, block: in
     return work_table(cut, "turns")
 
 
-def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values(["turn", "tie"], na_position="first", kind="stable")
+def _streamed(rows: DataFrame, columns: list[str], run, ddl: str) -> DataFrame:
+    """run(part, conversation, rows of it) -> rows of ddl, over blocks in order; a block lies in one task, and
+    a task holds one conversation's share of one block at a time."""
+    places = ["part", "conv_id", "turn", "tie"]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.select(*places, *columns).repartition(n, "part").sortWithinPartitions(*places)
+    types = T._parse_datatype_string(ddl)
+    schema = to_arrow_schema(types)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key, out, size = [], None, [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[:2] != key:
+                    if held:
+                        out += run(*key, held)
+                        size += sum(len(x) for r in held for x in r if isinstance(x, str))
+                    held, key = [], row[:2]
+                held.append(row[2:])
+            if size > 1 << 22 or len(out) > 10_000:
+                yield batch()
+                out, size = [], 0
+        if held:
+            out += run(*key, held)
+        if out:
+            yield batch()
+
+    return ordered.mapInArrow(stream, ddl)
 
 
 def repaired(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -169,11 +204,14 @@ def repaired(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     action, new_role, inserted (roles of the empty turns before it), piece."""
     rows = _blocks(df, conv, turn, role, text, block)
 
-    def matrix(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        roles = np.array([role_of(r) for r in _ordered(pdf)["role"]])
-        return pd.DataFrame({"conv_id": [key[0]], "part": [key[1]], "m": [block_matrix(roles).ravel().tolist()]}).astype({"conv_id": "Int64"})
+    def matrix(part: int, conv_id: int | None, turns: list[tuple]) -> list[tuple]:
+        roles = np.array([role_of(r) for _, _, r in turns])
+        return [(part, conv_id, block_matrix(roles).ravel().tolist())]
 
-    matrices = rows.select("conv_id", "part", "turn", "tie", "role").groupBy("conv_id", "part").applyInPandas(matrix, "conv_id long, part int, m array<long>")
+    # blocks are ranges in the order of conversations: only a block's first and last can go beyond it
+    ends = rows.groupBy("part").agg(F.min(_key()).alias("low"), F.max(_key()).alias("high"))
+    edge = rows.select("part", "conv_id", "turn", "tie", "role").join(ends, "part").where((_key() == F.col("low")) | (_key() == F.col("high")))
+    matrices = work_table(_streamed(edge, ["role"], matrix, "part int, conv_id long, m array<long>"), "matrices")
 
     def settle(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("part")
@@ -192,23 +230,27 @@ def repaired(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
         n = len(ms)
         return pd.DataFrame({"conv_id": [key[0]] * n, "part": pdf["part"], "enter": [START, *leave[:-1]], "leave": leave, "first": [i == 0 for i in range(n)], "last": [i + 1 == n for i in range(n)]}).astype({"conv_id": "Int64"})
 
-    # a conversation has one row here for each block of turns
-    states = matrices.groupBy("conv_id").applyInPandas(settle, "conv_id long, part int, enter int, leave int, first boolean, last boolean")
-    bounded = rows.join(states, rows["conv_id"].eqNullSafe(states["conv_id"]) & (rows["part"] == states["part"])).select(rows["*"], "enter", "leave", "first", "last")
-
-    def act(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _ordered(pdf)
-        head = pdf.iloc[0]
-        _, steps = repair([role_of(r) for r in pdf["role"]], int(head["enter"]), int(head["leave"]))
-        texts = ["" if t is None or t != t else t for t in pdf["text"]]
-        return pd.DataFrame({
-            "conv_id": pdf["conv_id"].astype("Int64"), "part": pdf["part"], "seq": np.arange(len(pdf)), "turn": pdf["turn"].astype("Int64"), "role": pdf["role"], "text": pdf["text"],
-            "action": [KINDS[s[0]] for s in steps], "new_role": [ROLES[s[1] - 1] for s in steps], "inserted": [",".join(ROLES[i - 1] for i in s[2]) for s in steps],
-            "piece": render(texts, steps, bool(head["first"]), bool(head["last"])),
-        })
+    # a row for each block of a conversation that goes beyond one
+    beyond = matrices.groupBy(F.col("conv_id").alias("__c")).agg(F.count("*").alias("n")).where("n > 1")
+    beyond = matrices.join(beyond, F.col("conv_id").eqNullSafe(F.col("__c")), "left_semi")
+    states = work_table(beyond.groupBy("conv_id").applyInPandas(settle, "conv_id long, part int, enter int, leave int, first boolean, last boolean"), "states")
+    states = states.select(F.col("conv_id").alias("__c"), F.col("part").alias("__p"), "enter", "leave", "first", "last")
+    bounded = rows.join(states, rows["conv_id"].eqNullSafe(F.col("__c")) & (rows["part"] == F.col("__p")), "left")
+
+    def act(part: int, conv_id: int | None, turns: list[tuple]) -> list[tuple]:
+        _, _, _, _, enter, leave, first, last = turns[0]
+        roles = [t[2] for t in turns]
+        _, steps = repair([role_of(r) for r in roles], START if enter is None else enter, leave)
+        made = render([t[3] or "" for t in turns], steps, first is not False, last is not False)
+        return [(conv_id, part, i, t[0], t[2], t[3], KINDS[s[0]], ROLES[s[1] - 1], ",".join(ROLES[x - 1] for x in s[2]), piece) for i, (t, s, piece) in enumerate(zip(turns, steps, made, strict=True))]
 
     out = "conv_id long, part int, seq long, turn long, role string, text string, action string, new_role string, inserted string, piece string"
-    return bounded.groupBy("conv_id", "part").applyInPandas(act, out)
+    return _streamed(bounded, ["role", "text", "enter", "leave", "first", "last"], act, out)
+
+
+def _key():
+    """A conversation's id with null as a value of its own, in the order of a sort."""
+    return F.struct(F.col("conv_id").isNotNull().alias("known"), F.coalesce("conv_id", F.lit(0)).alias("id"))
 
 
 def rendered(pieces: DataFrame) -> DataFrame:
