@@ -104,12 +104,22 @@ class Lattices:
     def clear(self) -> None:
         wide = self.v.longest
         self.index: dict[str, int] = {}  # unit -> its first place
+        self.used = 0  # places; the arrays have room for more
         self.rest, self.codes, self.total = np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0)
         self.arc_id, self.cdf = np.empty((0, wide), np.int32), np.empty((0, wide), np.float32)
 
+    def _room(self, n: int) -> None:
+        if self.used + n > len(self.rest):
+            size = max(2 * len(self.rest), self.used + n)
+            for name in ("rest", "codes", "total", "arc_id", "cdf"):
+                old = getattr(self, name)
+                new = np.empty((size, *old.shape[1:]), old.dtype)
+                new[: self.used] = old[: self.used]
+                setattr(self, name, new)
+
     def add(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The first places of each text's units."""
-        if len(self.rest) > KEPT:
+        if self.used > KEPT:
             self.clear()
         new = [u for u in dict.fromkeys(u for us in texts for u in us) if u not in self.index]
         if new:
@@ -117,7 +127,7 @@ class Lattices:
         return [np.array([self.index[u] for u in us], np.int64) for us in texts]
 
     def _extend(self, units: list[str]) -> None:
-        v, base, wide = self.v, len(self.rest), self.v.longest
+        v, base, wide = self.v, self.used, self.v.longest
         lengths = np.array([len(u) for u in units], np.int64)
         n = int((lengths + 1).sum())
         first = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
@@ -151,9 +161,10 @@ class Lattices:
             total[p] = top + np.log(e[:, -1])
             weight[p, :k] = e / e[:, -1:]  # from here on the arcs' cumulated probabilities
             weight[p, k:] = 1.0
-        self.rest, self.codes = np.concatenate([self.rest, rest]), np.concatenate([self.codes, codes])
-        self.total = np.concatenate([self.total, total[:n]])
-        self.arc_id, self.cdf = np.concatenate([self.arc_id, arc_id]), np.concatenate([self.cdf, weight.astype(np.float32)])
+        self._room(n)
+        for name, new in (("rest", rest), ("codes", codes), ("total", total[:n]), ("arc_id", arc_id), ("cdf", weight)):
+            getattr(self, name)[base : base + n] = new
+        self.used += n
 
     def log_p(self, place: np.ndarray, arc: np.ndarray) -> np.ndarray:
         """Log probability of arcs, given that the path comes to their places."""
