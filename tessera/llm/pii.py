@@ -1,15 +1,18 @@
 """Operator 5, PII by information-theoretic sanitisation, in DataFrame functions only.
 
 Base entities are found by patterns (email, ip, card, phone). How strongly a term reveals an entity is
-estimated from the corpus: with N documents, n(e) of them with entity e, n(t) with term t, and n(e,t) with
-t inside the window of characters around e,
-
-    disclosure(e, t) = log2(N n(e,t) / (n(e) n(t))) / log2(N / n(e)),
-
-the pointwise mutual information as a share of the entity's information content; 1 means that t occurs
-with e alone. Terms that share SUPPORT different texts with the entity at least (copies of one text are no
-evidence) are generalised from GENERALISE on and removed from REMOVE on, wherever they stand in the window
-of that entity. All counts are over all documents, and combined in the map tasks. Matches and their
+estimated from the corpus: of n(t) documents with term t, n(e,t) have t inside the window of characters
+around entity e, in m different texts, and p(e) is the share of different texts with e,
+
+    p(e|t) = (m n(e,t) / n(t) + PRIOR p(e)) / (m + PRIOR),
+    disclosure(e, t) = log2(p(e|t) / p(e)) / log2(1 / p(e)),
+
+the pointwise mutual information as a share of the entity's information content; it nears 1 where t occurs
+with e alone. Every pair that meets is scored, also of an entity in one text only. The prior weighs as much
+as PRIOR texts (copies of one text are one piece of evidence), so that a word seen once beside a frequent
+entity is not taken for a sign of it, while one seen once beside a rare entity is. Terms are generalised
+from GENERALISE on and removed from REMOVE on, wherever they stand in the window of that entity. Counts are
+over all documents, and combined in the map tasks. Matches and their
 places come from one matching rule: split() gives the gaps between the matches of regexp_extract_all().
 
 Defined cases: null text counts as empty; repeated rows give equal rows; ids may be null or repeated
@@ -26,7 +29,7 @@ from tessera.llm.common import read, work_table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW = 80
-SUPPORT = 3
+PRIOR = 1
 GENERALISE, REMOVE = 0.85, 0.95
 
 # Each pattern matches exactly what the plain one of the contract does. Runs are possessive and begin
@@ -115,7 +118,7 @@ def with_base(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
     return rows.withColumns({"base": base, "mentions": F.concat(*mentions)}).drop("_any", *["_" + k for k in KINDS[:-1]])
 
 
-def revealing_terms(docs: DataFrame, based: DataFrame, text: str, window: int = WINDOW, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def revealing_terms(docs: DataFrame, based: DataFrame, text: str, window: int = WINDOW, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """h1, h2, terms: for each distinct text, the spans (start, end, disclosure) of terms that reveal an
     entity that it mentions. based: a stored result of with_base()."""
     key = ["h1", "h2"]
@@ -123,15 +126,16 @@ def revealing_terms(docs: DataFrame, based: DataFrame, text: str, window: int =
     left = F.transform(located(F.col("left"), _WORD), lambda w: F.struct(F.lower(w["value"]).alias("term"), (F.col("start") - F.length("left") + w["start"]).alias("start"), (F.col("start") - F.length("left") + w["end"]).alias("end")))
     right = F.transform(located(F.col("right"), _WORD), lambda w: F.struct(F.lower(w["value"]).alias("term"), (F.col("end") + w["start"]).alias("start"), (F.col("end") + w["end"]).alias("end")))
     near = work_table(mention.select(*key, "docs", "entity", F.explode(F.concat(left, right)).alias("w")).select(*key, "docs", "entity", "w.*"), "near")
-    texts = lambda name: [F.count("*").alias("texts"), F.sum("docs").alias(name)]
-    joint = near.select("entity", "term", "docs", *key).distinct().groupBy("entity", "term").agg(*texts("n_et")).where(F.col("texts") >= support).drop("texts")
-    entities = mention.select("entity", "docs", *key).distinct().groupBy("entity").agg(*texts("n_e")).where(F.col("texts") >= support).drop("texts")
+    joint = near.select("entity", "term", "docs", *key).distinct().groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("docs").alias("n_et"))
+    entities = mention.select("entity", *key).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     joint = work_table(joint.join(entities, "entity"), "joint")
     words = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), r"[^\p{L}]+"))
     terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    scored = joint.join(terms, "term").withColumn("n_all", F.lit(based.count()))
-    disclosure = F.log2(F.col("n_all") * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log2(F.col("n_all") / F.col("n_e"))
-    flagged = scored.where("n_all > n_e").select("entity", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= generalise)
+    share = F.col("n_e") / F.lit(based.select(*key).distinct().count())
+    scored = joint.join(terms, "term").withColumn("p_e", share).where("p_e < 1")
+    posterior = (F.col("texts") * F.col("n_et") / F.col("n_t") + prior * F.col("p_e")) / (F.col("texts") + prior)
+    disclosure = 1 - F.log2(posterior) / F.log2("p_e")
+    flagged = scored.select("entity", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= generalise)
     found = near.join(flagged, ["entity", "term"]).groupBy(*key, "start", "end").agg(F.max("disclosure").alias("disclosure"))
     return found.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "end", (F.col("disclosure") >= remove).alias("remove")))).alias("terms"))
 

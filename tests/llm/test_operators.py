@@ -292,6 +292,19 @@ def test_revealing_terms(spark):
     assert "quartermaster" not in clean[0] and "<EMAIL>" in clean[0] and clean[9] == texts[9]
 
 
+def test_terms_of_rare_entities(spark):
+    rng = random.Random(6)
+    fill = lambda: " ".join(rng.choice(["river", "boats", "water", "stone", "field", "under"]) for _ in range(12))
+    texts = [f"{fill()} Zebulon a@b.example.com {fill()}"]
+    texts += [f"{fill()} Quentin {i * 'so '} c@d.example.com {fill()}" for i in range(2)]
+    texts += [f"{fill()} Ottoline e@f.example.com {fill()}"] * 200
+    texts += [fill() for _ in range(400)]
+    rows = pii.find(docs(spark, texts), keep=["doc_id"]).collect()
+    terms = {r["doc_id"]: {texts[r["doc_id"]][s["start"] : s["end"]] for s in r["terms"]} for r in rows}
+    assert terms[0] == {"Zebulon"} and terms[1] == terms[2] == {"Quentin"}
+    assert all(terms[i] == {"Ottoline"} for i in range(3, 203)) and not any(terms[i] for i in range(203, 603))
+
+
 def test_pii_digest(spark, tmp_path):
     sf = saved(docs(spark, ["mail a@b.cc", None]).union(docs(spark, ["mail a@b.cc"])), tmp_path, "documents")
     got = sorted(tuple(r)[:7] for r in pii.op5_pii_sanitisation(spark, sf).collect())
