@@ -44,19 +44,17 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _WORD = r"(?<=[^\p{L}])\p{L}{4,}(?=[^\p{L}])"
-_MATCH = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
+_MATCH = "array<struct<start:int,end:int,value:string>>"
 
 
-def located(text: Column, pattern: str, context: int = 0) -> Column:
-    """All matches with their places (code points, end exclusive) and `context` characters either side."""
+def located(text: Column, pattern: str) -> Column:
+    """All matches with their places (code points, end exclusive)."""
     values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
     def step(acc: Column, i: Column) -> Column:
-        value, gap = F.element_at(acc["values"], i), F.element_at(acc["gaps"], i)
-        start = acc["at"] + F.length(gap)
-        after = F.element_at(acc["gaps"], i + 1)
-        left = F.when(F.length(gap) > context, F.substring(gap, -context, context)).otherwise(gap) if context else F.lit("")
-        one = F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), left.alias("left"), (F.substring(after, 1, context) if context else F.lit("")).alias("right"))
+        value = F.element_at(acc["values"], i)
+        start = acc["at"] + F.length(F.element_at(acc["gaps"], i))
+        one = F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
         return F.struct(acc["values"].alias("values"), acc["gaps"].alias("gaps"), (start + F.length(value)).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     zero = F.struct(values.alias("values"), gaps.alias("gaps"), F.lit(0).alias("at"), F.array().cast(_MATCH).alias("out"))
@@ -87,10 +85,10 @@ KEEP = {
 
 
 def base_matches(text: Column, kind: str) -> Column:
-    """The kept matches of one kind, with their surroundings."""
+    """The kept matches of one kind."""
     need, none = NEEDS[kind], F.array().cast(_MATCH)
     may = F.contains(text, F.lit(need)) if need else text.rlike(PATTERNS[kind])
-    return F.when(may, F.filter(located(text, PATTERNS[kind], WINDOW), lambda m: KEEP[kind](m["value"]))).otherwise(none)
+    return F.when(may, F.filter(located(text, PATTERNS[kind]), lambda m: KEEP[kind](m["value"]))).otherwise(none)
 
 
 def _entity(kind: str, value: Column) -> Column:
@@ -101,21 +99,27 @@ def _span(kind: int):
     return lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"))
 
 
-def _mention(kind: str):
-    return lambda m: F.struct(_entity(kind, m["value"]).alias("entity"), m["start"].alias("start"), m["end"].alias("end"), m["left"].alias("left"), m["right"].alias("right"))
+def _mention(kind: str, text: Column):
+    """The entity, its place, and the text around it by position, whatever else is matched there."""
+
+    def mention(m: Column) -> Column:
+        at = F.greatest(m["start"] - WINDOW, F.lit(0))
+        return F.struct(_entity(kind, m["value"]).alias("entity"), m["start"].alias("start"), m["end"].alias("end"), F.substring(text, at + 1, m["start"] - at).alias("left"), F.substring(text, m["end"] + 1, F.lit(WINDOW)).alias("right"))
+
+    return mention
 
 
 def with_base(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
     """keep, the key of the text (h1, h2), base: spans (start, kind, end) in order, and mentions."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(*keep, F.xxhash64(whole).alias("h1"), F.xxhash64(whole, F.lit(5)).alias("h2"), *[base_matches(whole, k).alias("_" + k) for k in KINDS[:-1]])
+    rows = docs.select(*keep, whole.alias("_whole"), F.xxhash64(whole).alias("h1"), F.xxhash64(whole, F.lit(5)).alias("h2"), *[base_matches(whole, k).alias("_" + k) for k in KINDS[:-1]])
     spans, mentions = [], []
     for i, k in enumerate(KINDS[:-1]):
         spans.append(F.transform("_" + k, _span(i)))
-        mentions.append(F.transform("_" + k, _mention(k)))
+        mentions.append(F.transform("_" + k, _mention(k, F.col("_whole"))))
     rows = rows.withColumn("_any", F.size(F.col("_email")) + F.size("_ip") + F.size("_card") + F.size("_phone") > 0)
     base = F.when(F.col("_any"), F.array_sort(F.concat(*spans))).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
-    return rows.withColumns({"base": base, "mentions": F.concat(*mentions)}).drop("_any", *["_" + k for k in KINDS[:-1]])
+    return rows.withColumns({"base": base, "mentions": F.concat(*mentions)}).drop("_any", "_whole", *["_" + k for k in KINDS[:-1]])
 
 
 def revealing_terms(docs: DataFrame, based: DataFrame, text: str, window: int = WINDOW, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:

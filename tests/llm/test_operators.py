@@ -305,6 +305,12 @@ def test_terms_of_rare_entities(spark):
     assert all(terms[i] == {"Ottoline"} for i in range(3, 203)) and not any(terms[i] for i in range(203, 603))
 
 
+def test_windows_go_past_neighbours(spark):
+    texts = ["the river Zebulon and 1.2.999.4 by 10.0.0.1 and the boats"] + ["the river and the boats by the water"] * 200 + [f"the river and boat {i}" for i in range(200)]
+    row = next(r for r in pii.find(docs(spark, texts), keep=["doc_id"]).collect() if r["doc_id"] == 0)
+    assert {texts[0][s["start"] : s["end"]] for s in row["terms"]} == {"Zebulon"}
+
+
 def test_pii_digest(spark, tmp_path):
     sf = saved(docs(spark, ["mail a@b.cc", None]).union(docs(spark, ["mail a@b.cc"])), tmp_path, "documents")
     got = sorted(tuple(r)[:7] for r in pii.op5_pii_sanitisation(spark, sf).collect())
