@@ -11,8 +11,9 @@ the pointwise mutual information as a share of the entity's information content;
 with e alone. Every pair that meets is scored, also of an entity in one text only. The prior weighs as much
 as PRIOR texts (copies of one text are one piece of evidence), so that a word seen once beside a frequent
 entity is not taken for a sign of it, while one seen once beside a rare entity is. Terms are generalised
-from GENERALISE on and removed from REMOVE on, wherever they stand in the window of that entity. Counts are
-over all documents, and combined in the map tasks. Matches and their
+from GENERALISE on and removed from REMOVE on, wherever they stand in the window of that entity. A term is
+a whole word of letters and digits, of any length; a word that the window's edge or the entity cuts is
+none. Counts are over all documents, and combined in the map tasks. Matches and their
 places come from one matching rule: split() gives the gaps between the matches of regexp_extract_all().
 
 Defined cases: null text counts as empty; repeated rows give equal rows; ids may be null or repeated
@@ -43,7 +44,8 @@ PATTERNS = {
 #: A text without these has no match; contains() is much cheaper than a pattern.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-_WORD = r"(?<=[^\p{L}])\p{L}{4,}(?=[^\p{L}])"
+_LETTER = r"\p{L}\p{M}\p{N}"
+_WORD = rf"[{_LETTER}]++"
 _MATCH = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -100,11 +102,12 @@ def _span(kind: int):
 
 
 def _mention(kind: str, text: Column):
-    """The entity, its place, and the text around it by position, whatever else is matched there."""
+    """The entity, its place, and the text around it by position, whatever else is matched there: with one
+    character more at either end, which shows whether a word is cut."""
 
     def mention(m: Column) -> Column:
-        at = F.greatest(m["start"] - WINDOW, F.lit(0))
-        return F.struct(_entity(kind, m["value"]).alias("entity"), m["start"].alias("start"), m["end"].alias("end"), F.substring(text, at + 1, m["start"] - at).alias("left"), F.substring(text, m["end"] + 1, F.lit(WINDOW)).alias("right"))
+        at = F.greatest(m["start"] - WINDOW - 1, F.lit(0))
+        return F.struct(_entity(kind, m["value"]).alias("entity"), m["start"].alias("start"), m["end"].alias("end"), F.substring(text, at + 1, m["start"] + 1 - at).alias("left"), F.substring(text, m["end"], F.lit(WINDOW + 2)).alias("right"))
 
     return mention
 
@@ -127,21 +130,22 @@ def revealing_terms(docs: DataFrame, based: DataFrame, text: str, window: int =
     entity that it mentions. based: a stored result of with_base()."""
     key = ["h1", "h2"]
     mention = based.where(F.size("mentions") > 0).groupBy(*key).agg(F.first("mentions").alias("m"), F.count("*").alias("docs")).select(*key, "docs", F.explode("m").alias("m")).select(*key, "docs", "m.*")
-    left = F.transform(located(F.col("left"), _WORD), lambda w: F.struct(F.lower(w["value"]).alias("term"), (F.col("start") - F.length("left") + w["start"]).alias("start"), (F.col("start") - F.length("left") + w["end"]).alias("end")))
-    right = F.transform(located(F.col("right"), _WORD), lambda w: F.struct(F.lower(w["value"]).alias("term"), (F.col("end") + w["start"]).alias("start"), (F.col("end") + w["end"]).alias("end")))
+    found = lambda side, at: F.transform(located(F.col(side), _WORD), lambda w: F.struct(F.lower(w["value"]).alias("term"), (at + w["start"]).alias("start"), (at + w["end"]).alias("end")))
+    left = F.filter(found("left", F.col("start") + 1 - F.length("left")), lambda w: (w["start"] >= F.col("start") - WINDOW) & (w["end"] <= F.col("start")))
+    right = F.filter(found("right", F.col("end") - 1), lambda w: (w["start"] >= F.col("end")) & (w["end"] <= F.col("end") + WINDOW))
     near = work_table(mention.select(*key, "docs", "entity", F.explode(F.concat(left, right)).alias("w")).select(*key, "docs", "entity", "w.*"), "near")
     joint = near.select("entity", "term", "docs", *key).distinct().groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("docs").alias("n_et"))
     entities = mention.select("entity", *key).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     joint = work_table(joint.join(entities, "entity"), "joint")
-    words = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), r"[^\p{L}]+"))
+    words = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), rf"[^{_LETTER}]+"))
     terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     share = F.col("n_e") / F.lit(based.select(*key).distinct().count())
     scored = joint.join(terms, "term").withColumn("p_e", share).where("p_e < 1")
     posterior = (F.col("texts") * F.col("n_et") / F.col("n_t") + prior * F.col("p_e")) / (F.col("texts") + prior)
     disclosure = 1 - F.log2(posterior) / F.log2("p_e")
     flagged = scored.select("entity", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= generalise)
-    found = near.join(flagged, ["entity", "term"]).groupBy(*key, "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    return found.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "end", (F.col("disclosure") >= remove).alias("remove")))).alias("terms"))
+    spans = near.join(flagged, ["entity", "term"]).groupBy(*key, "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    return spans.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "end", (F.col("disclosure") >= remove).alias("remove")))).alias("terms"))
 
 
 def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, **params) -> DataFrame:
@@ -153,7 +157,8 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, **p
 
 def sanitise(docs: DataFrame, text: str = "text", **params) -> DataFrame:
     """docs with the spans in text replaced: base entities and generalised terms by a tag, removed terms
-    by nothing. Spans that overlap are replaced as one, with the tag of the first."""
+    by nothing. Spans that overlap are replaced as one, with the tag of the first, and that of the first base
+    entity if a term comes before it."""
     based = with_base(docs, text, [])
     terms = work_table(revealing_terms(docs, work_table(based, "base"), text, **params), "terms")
     names = [f"__{i}" for i in range(len(docs.columns))]  # whatever the columns are called
@@ -168,11 +173,15 @@ def sanitise(docs: DataFrame, text: str = "text", **params) -> DataFrame:
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(F.col(own), acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, s["tag"]).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+        term = s["kind"] == KINDS.index("term")
+        apart = F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, s["tag"]).alias("out"), term.alias("term"))
+        entity = acc["term"] & ~term  # begins inside a term
+        inside = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(entity, F.concat(acc["out"], s["tag"])).otherwise(acc["out"]).alias("out"), (acc["term"] & term).alias("term"))
+        return F.when(s["start"] >= acc["at"], apart).otherwise(inside)
 
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col(own), acc["at"] + 1, F.length(F.col(own))))
     changed = F.size("__spans") > 0
-    clean = F.when(changed, F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)).otherwise(F.col(own))
+    clean = F.when(changed, F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(False).alias("term")), step, rest)).otherwise(F.col(own))
     rows = rows.withColumn("__spans", F.array_sort(spans)).withColumn("__clean", clean)
     out = {c: F.col(n) for c, n in zip(docs.columns, names, strict=True)}
     out[text] = F.col("__clean")

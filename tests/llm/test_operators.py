@@ -296,7 +296,7 @@ def test_terms_of_rare_entities(spark):
     rng = random.Random(6)
     fill = lambda: " ".join(rng.choice(["river", "boats", "water", "stone", "field", "under"]) for _ in range(12))
     texts = [f"{fill()} Zebulon a@b.example.com {fill()}"]
-    texts += [f"{fill()} Quentin {i * 'so '} c@d.example.com {fill()}" for i in range(2)]
+    texts += [f"{fill()} Quentin {i * 'river '}c@d.example.com {fill()}" for i in range(2)]
     texts += [f"{fill()} Ottoline e@f.example.com {fill()}"] * 200
     texts += [fill() for _ in range(400)]
     rows = pii.find(docs(spark, texts), keep=["doc_id"]).collect()
@@ -306,11 +306,22 @@ def test_terms_of_rare_entities(spark):
 
 
 def test_windows_go_past_neighbours(spark):
-    texts = ["the river Zebulon and 1.2.999.4 by 10.0.0.1 and the boats"] + ["the river and the boats by the water"] * 200 + [f"the river and boat {i}" for i in range(200)]
+    texts = ["the river Zebulon and 256.256.0.1 by 10.0.0.1 and the boats"] + ["the river and the boats by the water 256 0 1"] * 200 + [f"the river and boat {i}" for i in range(200)]
     row = next(r for r in pii.find(docs(spark, texts), keep=["doc_id"]).collect() if r["doc_id"] == 0)
     assert {texts[0][s["start"] : s["end"]] for s in row["terms"]} == {"Zebulon"}
 
 
+def test_terms_of_any_length_and_place(spark):
+    fill = "the river and the boats lay by the water"
+    texts = [f"Kim {fill} a@b.example.com {fill} Lee", "李 c@d.example.com K7", f"{'q' * 90} e@f.example.com", "Jo2.3.4.5 g@h.example.com x", f"{fill} x"]
+    texts += [f"{fill} {i}" for i in range(400)]
+    rows = pii.find(docs(spark, texts), keep=["doc_id"]).collect()
+    terms = {r["doc_id"]: {texts[r["doc_id"]][s["start"] : s["end"]] for s in r["terms"]} for r in rows}
+    assert terms[0] == {"Kim", "Lee"} and terms[1] == {"李", "K7"} and terms[2] == set() and "Jo2" in terms[3]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs(spark, texts)).collect()}
+    assert clean[0] == f"<TERM> {fill} <EMAIL> {fill} <TERM>" and clean[1] == "<TERM> <EMAIL> <TERM>"
+
+
 def test_pii_digest(spark, tmp_path):
     sf = saved(docs(spark, ["mail a@b.cc", None]).union(docs(spark, ["mail a@b.cc"])), tmp_path, "documents")
     got = sorted(tuple(r)[:7] for r in pii.op5_pii_sanitisation(spark, sf).collect())
