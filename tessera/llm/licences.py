@@ -1,13 +1,15 @@
 """Operator 1, licence scans: sparse TF-IDF cosine of headers and licence files to templates, then
 inheritance from the nearest ancestor directory.
 
-Every line of a file, and a file as a whole, is a segment: a sparse vector of its terms, weighted by
-count * idf, compared with each template's. Document frequencies of the template terms are counted over all
+Every line of a file, every run of up to RUN lines, every paragraph, the leading comment block, and a file as
+a whole, is a segment: a sparse vector of its terms, weighted by count * idf, compared with each notice's.
+The whole file is compared with the full licence texts of licence_texts first, weighted by
+(1 + ln count) * idf, as common words fill long texts; a file that reaches the threshold there is that text. Document frequencies of the template terms are counted over all
 files; a term outside the templates has the idf of a term never seen, so that prose counts against a line.
 A segment's licence is that of the template with the largest cosine if this reaches `threshold`; a file's
-is that of its best segment, lines before the whole in case of ties, then the first line.
+is that of its best segment, in case of ties lines before runs of lines before the whole, then the first line.
 
-Only lines with an anchor are compared. Anchors are the heaviest template terms, just so many that a
+Only segments with an anchor are compared. Anchors are the heaviest template terms, just so many that a
 segment without any of them has a cosine under the threshold with every template: nothing is missed.
 
 A file without a licence of its own takes the one of the nearest directory above it that has a licence
@@ -23,6 +25,7 @@ equal rows; an empty table gives no rows; other columns are passed over.
 from __future__ import annotations
 
 import math
+import pkgutil
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -45,7 +48,19 @@ TEMPLATES = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3"),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD", "Licensed under the BSD License"),
@@ -62,21 +77,51 @@ TEMPLATES = [
     ("Proprietary", "All rights reserved"),
     ("Proprietary", "Proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited"),
 ]
+#: Licences whose full text is in licence_texts.
+FULL = ("Apache-2.0", "BSD", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-1.1", "MPL-2.0")
+RUN = 12
 LICENCE_FILE = r"(?i)^(?:licen[cs]e|copying|copyright|notice|unlicense)(?:[.-].*)?$"
 _TERM = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
+_COMMENT = re.compile(r"\s*(?:[#;%*!]|//|/\*|--|<!--|\"\"\"|''')")
+_FILLED = re.compile(r"[^\W_]")
+
+
 def terms(text: str) -> Counter:
     return Counter(_TERM.findall(text.lower()))
 
 
+def full_texts() -> list[tuple[str, str]]:
+    return [(name, pkgutil.get_data(__package__, f"licence_texts/{name}.txt").decode()) for name in FULL]
+
+
+def damped(counts: Counter) -> dict[str, float]:
+    return {t: 1 + math.log(c) for t, c in counts.items()}
+
+
+def blocks(lines: list[str]) -> list[tuple[int, int]]:
+    """Paragraphs, and the leading comment block, of more than RUN lines: first line and the one after the last."""
+    out, at, n = [], 0, len(lines)
+    while at < n:
+        end = at
+        while end < n and _FILLED.search(lines[end]):
+            end += 1
+        out.append((at, end))
+        at = max(end, at + 1)
+    end = 0
+    while end < n and _COMMENT.match(lines[end]):
+        end += 1
+    return sorted({(a, b) for a, b in [*out, (0, end)] if b - a > RUN})
+
+
 class Templates:
     """Weighted template vectors for given document frequencies (term -> files) among n files."""
 
     def __init__(self, df: dict[str, int], n: int, templates=TEMPLATES, threshold: float = THRESHOLD):
         self.threshold = threshold
         self.unseen = self._idf(0, n)
-        self.vectors = [(name, terms(text)) for name, text in templates]
+        self.vectors = [(name, text if isinstance(text, dict) else terms(text)) for name, text in templates]
         self.idf = {t: self._idf(df.get(t, 0), n) for _, v in self.vectors for t in v}
         self.by_term: dict[str, list[tuple[int, float]]] = {}
         norms = []
@@ -103,7 +148,9 @@ class Templates:
 
     def best(self, segment: str) -> tuple[str, float] | None:
         """Licence and cosine of the best template, in the order of the templates in case of ties."""
-        counts = terms(segment)
+        return self.nearest(terms(segment))
+
+    def nearest(self, counts: dict[str, float]) -> tuple[str, float] | None:
         dots: dict[int, float] = {}
         norm = 0.0
         for t, c in counts.items():
@@ -116,18 +163,58 @@ class Templates:
         i, dot = min(dots.items(), key=lambda d: (-round(d[1], 9), d[0]))
         return self.vectors[i][0], dot / math.sqrt(norm)
 
-    def scan(self, text: str) -> tuple[str, float, int] | None:
-        """Licence, score and line (0 for the whole) of the best segment that reaches the threshold."""
-        if self.anchors.isdisjoint(_TERM.findall(text.lower())):
+    def whole(self, counts: Counter) -> tuple[str, float] | None:
+        """As nearest(), where the terms of the templates are weighty enough to reach the threshold."""
+        known = rest = 0.0
+        weights = damped(counts)
+        for t, c in weights.items():
+            if t in self.idf:
+                known += (c * self.idf[t]) ** 2
+            else:
+                rest += c * c
+        if known < (self.threshold - 1e-9) ** 2 * (known + rest * self.unseen**2):
+            return None
+        best = self.nearest(weights)
+        return best if best and best[1] >= self.threshold else None
+
+    def scan(self, text: str, full: Templates | None = None) -> tuple[str, float, int] | None:
+        """Licence, score and line (0 for the whole, the first of several) of the best segment that reaches
+        the threshold, or of the full text that the file is."""
+        words = _TERM.findall(text.lower())
+        if full and (best := full.whole(Counter(words))):
+            return (*best, 0)
+        if self.anchors.isdisjoint(words):
             return None
         found = None
         lines = text.split("\n")
-        for number, line in [*enumerate(lines, 1), *([(0, text)] if len(lines) > 1 else [])]:
-            if number and self.anchors.isdisjoint(_TERM.findall(line.lower())):
-                continue
-            best = self.best(line)
+        parts = [_TERM.findall(line.lower()) for line in lines]
+        anchored = [not self.anchors.isdisjoint(p) for p in parts]
+        useful = [not self.idf.keys().isdisjoint(p) for p in parts]
+
+        def take(counts: Counter, number: int) -> None:
+            nonlocal found
+            best = self.nearest(counts)
             if best and best[1] >= self.threshold and (found is None or best[1] > found[1] + 1e-9):
                 found = (*best, number)
+
+        for i, part in enumerate(parts):
+            if anchored[i]:
+                take(Counter(part), i + 1)
+        # a line without template terms at either end only lowers the cosine
+        for i in range(len(parts)):
+            if not useful[i] or True not in anchored[i : i + RUN]:
+                continue
+            counts, seen = Counter(parts[i]), anchored[i]
+            for j in range(i + 1, min(i + RUN, len(parts))):
+                counts.update(parts[j])
+                seen = seen or anchored[j]
+                if useful[j] and seen:
+                    take(counts, i + 1)
+        for a, b in blocks(lines):
+            if True in anchored[a:b]:
+                take(Counter(t for p in parts[a:b] for t in p), a + 1)
+        if len(lines) > 1:
+            take(Counter(words), 0)
         return found
 
 
@@ -150,7 +237,7 @@ def term_counts(texts: DataFrame, wanted: list[str]) -> tuple[dict[str, int], in
 
 def scan(files: DataFrame, path: Column, text: str, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
     """keep (of files), path, and for the file's own licence: licence, score, line (0: the whole file)."""
-    wanted = sorted({t for _, x in TEMPLATES for t in terms(x)})
+    wanted = sorted({t for _, x in [*TEMPLATES, *full_texts()] for t in terms(x)})
     df, n = term_counts(files.select(F.col(text).cast("string").alias("t")), wanted)
     names = [f"__{i}" for i in range(len(keep))]
     rows = files.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(keep, names, strict=True)], path.cast("string").alias("path"), F.col(text).cast("string").alias("t"))
@@ -158,8 +245,9 @@ def scan(files: DataFrame, path: Column, text: str, keep: list[str], threshold:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Templates(df, n, threshold=threshold)
+        full = Templates(df, n, [(name, damped(terms(x))) for name, x in full_texts()], threshold)
         for batch in batches:
-            out = [(model.scan(t) if t else None) or (None, None, None) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            out = [(model.scan(t, full) if t else None) or (None, None, None) for t in batch.column(batch.num_columns - 1).to_pylist()]
             columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], "licence", "score", "line"])
 

@@ -63,6 +63,16 @@ def test_licence_anchors_lose_nothing():
             assert best is None or best[1] < model.threshold
 
 
+def test_wrapped_headers_and_full_texts(spark):
+    head = "/*\n * This {0} is free software{2} you can redistribute it and/or\n * modify it under the terms of the GNU {1}General Public\n * License as published by the Free Software Foundation{2} either\n * version {3} of the License, or (at your option) any later version.\n */\nint main() {{ return 0; }}\n"
+    files = [("GPL-2.0", head.format("program", "", ";", "2")), ("GPL-3.0", head.format("program", "", ":", "3")), ("LGPL-2.1", head.format("library", "Lesser ", ";", "2.1")), ("AGPL-3.0", head.format("program", "Affero ", ":", "3"))]
+    files += [(name, "Copyright 2020 Some Body\n\n" + text) for name, text in licences.full_texts()]
+    files += [(None, "the river was low and the boats of the village lay in the mud, as you may have seen from all the work\n" * 40)] * 60
+    df = spark.createDataFrame([(str(i), want, text) for i, (want, text) in enumerate(files)], "path string, want string, text string")
+    got = licences.scan(df, F.col("path"), "text", ["want"]).collect()
+    assert [(r["want"], r["licence"]) for r in got if r["licence"] != r["want"]] == []
+
+
 # 2 sampled segmentations
 
 
