@@ -5,7 +5,8 @@ children's hashes. Spark counts, per host, the pages of different content that h
 recur on at least `RECUR` of these and on the share `SHARE` of them are template and are deleted, wherever
 they stand. What a page marks as no content - menus, headers, footers, sidebars, forms, scripts, notices,
 adverts, reader comments, by tag, role or class name - is deleted as well, since a host with few pages
-shows no recurrence. If the page has an <article> or <main>, only these are read.
+shows no recurrence. Inside <article> or <main> only a name that says this as a whole counts (related-links,
+not related-work), and ids of sections and headings, which tell their subject, do not. If the page has an <article> or <main>, only these are read.
 
 Both passes parse the pages in Arrow batches. The first emits (host, hash, content) rows, which are made
 distinct under all three and then counted with map-side sums, so that a host with a third of all pages is
@@ -36,8 +37,8 @@ RECUR, SHARE = 8, 0.5
 # Names that HTML gives to kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split())
-NO_CONTENT = frozenset("nav header footer aside form script style noscript template iframe button select option input textarea dialog menu head title svg canvas object audio video math".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img math semantics mrow mi mn mo ms mtext mfrac msqrt mroot msup msub msubsup mover munder munderover mstyle mpadded mspace annotation tspan".split())
+NO_CONTENT = frozenset("nav header footer aside form script style noscript template iframe button select option input textarea dialog menu head title canvas audio video".split())
 CONTENT = frozenset("article main".split())
 NO_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NO_CONTENT_NAMES = frozenset(
@@ -55,29 +56,41 @@ _RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _BEGINNINGS = ("advert", "breadcrumb", "comment", "cookie", "navbar", "newsletter", "sidebar", "sponsor")
 #: Class names such as no-sidebar say what a page lacks or has, not what an element is.
 _STATES = frozenset("no has with without is".split())
+#: Inside an article a whole name counts: these may only stand beside such words, as in share-buttons.
+_SHAPES = frozenset("area bar box block button buttons container count form icons inner label link links list panel slot thread unit widget wrap wrapper".split())
+_ID_IS_SUBJECT = frozenset("section h1 h2 h3 h4 h5 h6".split())
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("children", "drop", "hash", "tag")
+    __slots__ = ("children", "drop", "hash", "inside", "tag")
 
-    def __init__(self, tag: str, drop: bool = False):
-        self.tag, self.drop, self.children, self.hash = tag, drop, [], b""
+    def __init__(self, tag: str, drop: bool = False, inside: bool = False):
+        self.tag, self.drop, self.inside, self.children, self.hash = tag, drop, inside, [], b""
 
 
-def _marked(attributes: str) -> bool:
-    """Whether class, id or role name something other than content. Whole words of a name count."""
+def _names_frame(word: str, inside: bool) -> bool:
+    parts = _NAME.findall(word)
+    if not parts or parts[0] in _STATES:
+        return False
+    if inside:
+        named = [p in NO_CONTENT_NAMES for p in parts]
+        return any(named) and all(n or p in _SHAPES for n, p in zip(named, parts, strict=True))
+    return parts[0] in NO_CONTENT_NAMES or parts[-1] in NO_CONTENT_NAMES or parts[0].startswith(_BEGINNINGS)
+
+
+def _marked(attributes: str, tag: str = "", inside: bool = False) -> bool:
+    """Whether class, id or role name something other than content. Whole words of a name count, and
+    inside an article the whole name."""
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in NO_CONTENT_ROLES):
             return True
-        if name in ("class", "id"):
-            for word in value.split():
-                parts = _NAME.findall(word)
-                if parts and parts[0] not in _STATES and (parts[0] in NO_CONTENT_NAMES or parts[-1] in NO_CONTENT_NAMES or parts[0].startswith(_BEGINNINGS)):
-                    return True
+        if name == "class" or (name == "id" and not (inside and tag in _ID_IS_SUBJECT)):
+            if any(_names_frame(word, inside) for word in value.split()):
+                return True
     return False
 
 
@@ -124,7 +137,8 @@ def parse(source: str) -> Node:
                     del stack[i:]
                     break
         attributes = m.group(3) or m.group(4) or ""
-        node = Node(tag, tag in NO_CONTENT or (bool(attributes) and tag not in ("html", "body", "article", "main") and _marked(attributes)))
+        inside = stack[-1].inside
+        node = Node(tag, tag in NO_CONTENT or (bool(attributes) and tag not in ("html", "body", "article", "main") and _marked(attributes, tag, inside)), inside or tag in CONTENT)
         stack[-1].children.append(node)
         if tag in VOID:
             continue

@@ -578,6 +578,13 @@ def test_main_text(page, want):
     assert pages.main_text(pages.parse(page)) == want
 
 
+@pytest.mark.parametrize("name", ["related-work", "side-effects", "search-algorithms", "social-impact", "copyright-law", "informed-consent", "market-share", "commentary", "advertising-revenue", "article-header"])
+def test_sections_of_an_article_stay(name):
+    page = f"<article><section id={name}><h2 id=search>T</h2><p>a</p></section><div class='{name}'>b</div><div class=share-buttons>c</div><div class=ad>d</div></article>"
+    assert pages.main_text(pages.parse(page)) == "T\na\nb"
+    assert pages.main_text(pages.parse("<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><svg><text>axis</text></svg><object>plan</object></article>")) == "so x=1 holds\naxis\nplan"
+
+
 def test_templates_of_a_host(spark):
     rows = [(i, f"http://Site.example.com/{i}", FRAME.format(body=f"<p>Story {i} of the day</p>")) for i in range(20)]
     rows += [(100 + i, "http://other.example.com/x", FRAME.format(body="<p>One story</p>")) for i in range(20)]  # copies are no template
