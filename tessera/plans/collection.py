@@ -136,7 +136,7 @@ class Collection:
             rows = rows.where(F.col("order_value") >= start if asc else F.col("order_value") <= start)
         return rows, asc
 
-    def facet(self, key: str, spec: dict | None = None, limit: int = LIMIT) -> DataFrame:
+    def facet(self, key: str, spec: dict | None = None, limit: int | None = LIMIT) -> DataFrame:
         """Values and the number of points that have them, each point once for a value."""
         values = self.context().values(key)
         kind = values.value_type
@@ -148,18 +148,20 @@ class Collection:
         else:
             raise ValueError(f"{key} has no values to count")
         counted = self.where(spec).select(flat.alias("value")).where(F.col("value").isNotNull()).groupBy("value").agg(F.count("*").alias("count"))
-        return counted.orderBy(F.desc("count"), F.asc("value")).limit(limit)
+        counted = counted.orderBy(F.desc("count"), F.asc("value"))
+        return counted if limit is None else counted.limit(limit)
 
     # queries
 
     def query(self, request: dict) -> DataFrame:
-        """id, score and what else the request asks for, best first."""
+        """id, score and what else the request asks for, best first; a limit of None asks for all rows."""
         narrow, order = self._query(request)
         limit, offset = request.get("limit", LIMIT), request.get("offset", 0)
         if self._kind(request) == "sample":
             offset = 0
         narrow = narrow.orderBy(*order)
-        narrow = narrow.offset(offset).limit(limit) if offset else narrow.limit(limit)
+        narrow = narrow.offset(offset) if offset else narrow
+        narrow = narrow if limit is None else narrow.limit(limit)
         return self._dressed(narrow, request.get("with_payload", False), request.get("with_vector", False)).orderBy(*order)
 
     def query_batch(self, requests: list[dict]) -> DataFrame:
@@ -188,7 +190,8 @@ class Collection:
         larger = larger_better(v.distance) or v.kind != "dense"
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*fusion.ordering(larger)))  # cut in each map task first
         offset = first.get("offset", 0)
-        top = rows.withColumn("rank", rank).where(F.col("rank") <= offset + first.get("limit", LIMIT))
+        top, limit = rows.withColumn("rank", rank), first.get("limit", LIMIT)
+        top = top if limit is None else top.where(F.col("rank") <= offset + limit)
         return top.where(F.col("rank") > offset).select("query_id", "id", "score", (F.col("rank") - offset).alias("rank"))
 
     def _kind(self, request: dict) -> str:
@@ -299,7 +302,8 @@ class Collection:
         for p in prefetches:
             df, larger = self._stage(p, merge(p.get("filter"), spec), depth + 1)
             order = self._direction(not larger) if "order_value" in df.columns else [F.asc("place")] if "place" in df.columns else fusion.ordering(larger) if larger is not None else [F.asc("id")]
-            cut = df.orderBy(*order).limit(p.get("limit", LIMIT) + (request.get("offset", 0) if depth == 0 else 0))
+            limit = p.get("limit", LIMIT)
+            cut = df if limit is None else df.orderBy(*order).limit(limit + (request.get("offset", 0) if depth == 0 else 0))
             sources.append((cut, True if larger is None else larger))
         q = request.get("query")
         if kind in ("fusion", "rrf"):
@@ -378,6 +382,8 @@ class Collection:
 
     def _mmr(self, scored: DataFrame, larger: bool, q: dict, v: Vector, request: dict) -> DataFrame:
         params = q["mmr"] or {}
+        if request.get("limit", LIMIT) is None:
+            raise ValueError("a diversity query needs a limit")
         limit = request.get("limit", LIMIT) + request.get("offset", 0)
         many = params.get("candidates_limit", request.get("limit", LIMIT)) or limit
         top = scored.orderBy(*fusion.ordering(larger)).limit(many)

@@ -104,7 +104,7 @@ for _d in ("Cosine", "Dot", "Euclid", "Manhattan"):
 _filtered = {"query": 0, "using": "cosine", "limit": 10, "filter": {"must": [{"key": "label", "match": {"any": [1, 2, 3]}}]}, "with_payload": ["label"]}
 register("knn_cosine_filtered", _top(_raw("Cosine", _vec(0)), "vec_id <> 0 AND label IN (1, 2, 3)", more=", label"))(_knn(_filtered))
 register("knn_threshold", f"SELECT vec_id AS id, round({_raw('Dot', _vec(3))}, 4) AS score, CAST(row_number() OVER (ORDER BY {_raw('Dot', _vec(3))} DESC, vec_id DESC) AS INT) AS rank FROM embeddings WHERE vec_id <> 3 AND {_raw('Dot', _vec(3))} > 0.2")(
-    _knn({"query": 3, "using": "dot", "limit": 100_000, "score_threshold": 0.2})
+    _knn({"query": 3, "using": "dot", "limit": None, "score_threshold": 0.2})
 )
 register("knn_offset", _top(_raw("Cosine", _vec(5)), "vec_id <> 5", limit=5, offset=5))(_knn({"query": 5, "using": "cosine", "limit": 5, "offset": 5}))
 
@@ -154,7 +154,7 @@ def _loss(p: int, n: int) -> str:
 
 
 register("context", f"SELECT vec_id AS id, round({_loss(1, 2)} + {_loss(3, 4)}, 4) AS score FROM embeddings WHERE vec_id NOT IN (1, 2, 3, 4)")(
-    lambda spark, sf_dir: rounded(embeddings(spark, sf_dir).query({"query": {"context": [{"positive": 1, "negative": 2}, {"positive": 3, "negative": 4}]}, "using": "cosine", "limit": 1_000_000}))
+    lambda spark, sf_dir: rounded(embeddings(spark, sf_dir).query({"query": {"context": [{"positive": 1, "negative": 2}, {"positive": 3, "negative": 4}]}, "using": "cosine", "limit": None}))
 )
 register("feedback_naive", _top(f"0.8 * {_cos(0)} + pow(0.9 - 0.4, 1.5) * 2.0 * ({_cos(1)} - {_cos(2)}) + pow(0.9 - 0.1, 1.5) * 2.0 * ({_cos(1)} - {_cos(3)}) + pow(0.4 - 0.1, 1.5) * 2.0 * ({_cos(2)} - {_cos(3)})", "vec_id > 3"))(
     _knn({"query": {"relevance_feedback": {"target": 0, "feedback": [{"example": 1, "score": 0.9}, {"example": 2, "score": 0.4}, {"example": 3, "score": 0.1}], "strategy": {"naive": {"a": 0.8, "b": 1.5, "c": 2.0}}}}, "using": "cosine", "limit": 10})
@@ -336,7 +336,7 @@ _geo("geo_polygon", {"geo_polygon": {"exterior": {"points": _ring((-100.05, -50.
 @register("geo_distance_formula", f"WITH p AS (SELECT c_custkey AS id, ({_LON})::DOUBLE AS lon, ({_LAT})::DOUBLE AS lat FROM customer), s AS (SELECT id, -({_HAV}) / 1000 AS score FROM p), t AS (SELECT *, row_number() OVER (ORDER BY score DESC, id DESC) AS n FROM s) SELECT id, round(score, 4) AS score FROM t WHERE n <= 50")
 def geo_distance_formula(spark, sf_dir):
     f = {"neg": {"div": {"left": {"geo_distance": {"origin": {"lon": 16.37, "lat": 48.2}, "to": "location"}}, "right": 1000.0}}}
-    return rounded(_places(spark, sf_dir).query({"prefetch": {"limit": 10_000_000}, "query": {"formula": f}, "limit": 50}))
+    return rounded(_places(spark, sf_dir).query({"prefetch": {"limit": None}, "query": {"formula": f}, "limit": 50}))
 
 
 # counts, facets, groups, lists
@@ -355,7 +355,7 @@ _facet("facet_keyword", "documents", "doc_id", "source", "SELECT source AS value
 _facet("facet_int", "part", "p_partkey", "p_size", "SELECT p_size AS value, count(*) AS count FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 _facet("facet_filtered", "orders", "o_orderkey", "o_orderpriority", "SELECT o_orderpriority AS value, count(*) AS count FROM orders WHERE o_orderstatus = 'O' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", {"must": [_c("o_orderstatus", match={"value": "O"})]})
 register("facet_array", "SELECT o_orderpriority AS value, count(DISTINCT o_custkey) AS count FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")(lambda spark, sf_dir: Collection(_customers(spark, sf_dir), "c_custkey").facet("priorities"))
-register("unique_values", "SELECT DISTINCT p_brand AS value FROM part")(lambda spark, sf_dir: rows_of(spark, sf_dir, "part", "p_partkey").facet("p_brand", limit=1_000_000).select("value"))
+register("unique_values", "SELECT DISTINCT p_brand AS value FROM part")(lambda spark, sf_dir: rows_of(spark, sf_dir, "part", "p_partkey").facet("p_brand", limit=None).select("value"))
 
 
 def _grouped(source: str, key: str, score: str, where: str, groups: int, size: int) -> str:

@@ -29,7 +29,8 @@ class StrictMode:
     max_batch: int | None = None
 
     def check(self, request: dict, indexed: set[str] = frozenset()) -> None:
-        if self.max_query_limit is not None and request.get("limit", 10) > self.max_query_limit:
+        limit = request.get("limit", 10)
+        if self.max_query_limit is not None and (limit is None or limit > self.max_query_limit):
             raise ValueError(f"limit is above {self.max_query_limit}")
         if self.max_timeout is not None and request.get("timeout", 0) > self.max_timeout:
             raise ValueError(f"timeout is above {self.max_timeout}")

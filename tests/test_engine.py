@@ -354,6 +354,21 @@ def test_strict_mode_counts_conditions():
         StrictMode(max_conditions=1).check({"filter": {"must": [{"key": "a"}, {"should": [{"key": "b"}]}]}})
 
 
+def test_requests_without_a_limit(spark):
+    from tessera.plans.queries import QUERIES
+
+    c = Collection(spark.range(30).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v")), "id", {"": Vector("v", "Dot")})
+    first = {"query": [1.0, 0.0], "limit": None}
+    assert c.query(first).count() == 30 and c.query({**first, "offset": 4}).count() == 26
+    assert c.query_batch([first, first]).count() == 60 and c.facet("id", limit=None).count() == 30
+    assert c.query({"prefetch": first, "query": {"formula": "$score"}, "limit": 20}).count() == 20
+    with pytest.raises(ValueError):
+        StrictMode(max_query_limit=5).check(first)
+    for name in ("knn_threshold", "context", "unique_values", "geo_distance_formula"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("GlobalLimit") == (name == "geo_distance_formula"), plan
+
+
 def test_sources(spark, tmp_path):
     made = sources.from_rows(spark, [{"id": 1, "vector": [1.0], "payload": {"a": 1}}, {"id": 2}])
     assert [r["vector_"] for r in made.orderBy("id").collect()] == [[1.0], None]
