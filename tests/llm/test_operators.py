@@ -426,10 +426,11 @@ def edited(rng, words, n):
     return out
 
 
-@pytest.mark.parametrize(("k", "num", "den"), [(4, 85, 100), (5, 80, 100), (1, 60, 100)])
-def test_join_is_exact(spark, k, num, den, monkeypatch):
+@pytest.mark.parametrize(("k", "num", "den", "hot"), [(4, 85, 100, 6), (5, 80, 100, 6), (1, 60, 100, 6), (4, 60, 100, 6), (4, 85, 100, 10**9)])
+def test_join_is_exact(spark, k, num, den, hot, monkeypatch):
     monkeypatch.setattr(ngram_join, "REGION", 4)  # so that regions split
-    monkeypatch.setattr(ngram_join, "HOT_LEAST", 6)
+    monkeypatch.setattr(ngram_join, "SPLIT", 3)
+    monkeypatch.setattr(ngram_join, "HOT_LEAST", hot)
     rng = random.Random(k)
     word = lambda: f"w{rng.randrange(60 if k == 1 else 4000)}"
     passage = [word() for _ in range(30)]
@@ -440,6 +441,10 @@ def test_join_is_exact(spark, k, num, den, monkeypatch):
     texts += [" ".join([word() for _ in range(10)] + passage + [word() for _ in range(n)]) for n in range(12)]
     hot = [word() for _ in range(120)]
     texts += [" ".join(edited(rng, hot, rng.randrange(0, 6))) for _ in range(30)] + [" ".join(hot)] * 20
+    # several groups of near copies that share half of their text: one region that does split
+    for _ in range(6):
+        half = passage + [word() for _ in range(40)]
+        texts += [" ".join(edited(rng, half, rng.randrange(0, 2))) for _ in range(5)]
     texts += [None, "", "  ", "one", "One", "one two", "a b c d", "A\tb c d", "a b c", "\x0b"]
     order = list(range(len(texts)))
     rng.shuffle(order)
@@ -453,6 +458,8 @@ def test_join_of_nothing(spark):
     assert ngram_join.join(docs(spark, ["x"]).limit(0)).count() == 0
     nulls = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e"), (None, "z")], "doc_id long, text string")
     assert Counter(tuple(r) for r in ngram_join.join(nulls).collect()) == Counter({(None, 2, 3): 1, (3, 2, 3): 1, (None, 1, None): 1})
+    shared = spark.createDataFrame([(7, "a b c d e"), (7, "p q r s t"), (8, "p q r s t")], "doc_id long, text string")
+    assert Counter(tuple(r) for r in ngram_join.join(shared).collect()) == Counter({(7, 2, 7): 2, (8, 2, 7): 1})
 
 
 def test_long_sets_have_wide_sketches(spark):

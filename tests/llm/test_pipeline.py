@@ -48,5 +48,14 @@ def test_odd_rows(spark):
                 assert out.columns == docs.columns
 
 
+def test_copies_go_by_row(spark):
+    """Rows with a shared or no id: copies go, other texts stay."""
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue cyan pink grey")
+    rows = [(1, a), (1, b), (2, a), (None, a), (None, c), (None, c), (3, b), (3, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    out = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF)
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter([(1, a), (1, b), (None, c)])
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
