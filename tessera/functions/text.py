@@ -126,18 +126,33 @@ def bm25_terms(docs: DataFrame, id_col: str, text: str, tokenizer: Tokenizer = T
 
 
 def bm25_search(docs: DataFrame, id_col: str, text: str, query: str, tokenizer: Tokenizer = Tokenizer(), use_idf: bool = True, **params) -> DataFrame:
-    """id and score of the documents that share a token with the query. The query's tokens are literals,
-    so that only matching tokens leave the scan; with idf, document frequencies come from the same rows."""
+    """id and score of the documents that share a token with the query. Each token of the query is a
+    literal and its count a column of the document's own row: no row is shuffled, and the terms of a score
+    are added in the query's order, however the documents are dealt out. With idf, one sum over the
+    documents gives all frequencies, as a scalar subquery. Rows that repeat an id are scored each."""
     wanted = list(dict.fromkeys(tokenizer.query(query)))
-    tokens = docs.where(tokenizer.may_hold(F.col(text), wanted)).select(F.col(id_col).alias("id"), tokenizer.document(F.col(text)).alias("tokens"))
-    rows = tokens.select("id", F.size("tokens").alias("length"), F.filter("tokens", lambda t: t.isin(wanted) if wanted else F.lit(False)).alias("hits"))
-    matched = rows.where(F.size("hits") > 0).select("id", "length", F.explode("hits").alias("token")).groupBy("id", "length", "token").agg(F.count("*").alias("tf"))
-    matched = matched.withColumn("w", bm25_weight(F.col("tf"), F.col("length"), **params))
+    if not wanted:
+        return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).where("false")
+    body = F.col(text)
+
+    def count_of(word: str) -> Column:
+        return F.size(F.filter("hits", lambda t: t == word))
+
+    def counted(rows: DataFrame, *keep: Column) -> DataFrame:
+        rows = rows.where(tokenizer.may_hold(body, wanted)).select(*keep, tokenizer.document(body).alias("tokens"))
+        hits = rows.select(*[k for k in rows.columns if k != "tokens"], F.size("tokens").alias("length"), F.filter("tokens", lambda t: t.isin(wanted)).alias("hits")).where(F.size("hits") > 0)
+        return hits.withColumns({f"tf{i}": count_of(w) for i, w in enumerate(wanted)})
+
+    parts = [bm25_weight(F.col(f"tf{i}"), F.col("length"), **params) for i in range(len(wanted))]
+    rows = counted(docs, F.col(id_col).alias("id"))
     if use_idf:
-        stats = matched.groupBy("token").agg(F.count("*").alias("df"))  # a row for each token of the query
-        total = docs.agg(F.count("*").alias("n"))
-        matched = matched.join(F.broadcast(stats), "token").join(F.broadcast(total)).withColumn("w", F.col("w") * idf(F.col("n"), F.col("df")))
-    return matched.groupBy("id").agg(F.sum("w").alias("score"))
+        holds = [F.count(F.when(F.col(f"tf{i}") > 0, 1)) for i in range(len(wanted))]
+        held = counted(docs).agg(F.array(*holds).alias("df")).select("df").scalar()
+        n = docs.agg(F.count("*").alias("n")).scalar()
+        rows = rows.withColumns({"df": held, "total": n})
+        parts = [p * idf(F.col("total"), F.col("df")[i]) for i, p in enumerate(parts)]
+    parts = [F.when(F.col(f"tf{i}") > 0, p).otherwise(0.0) for i, p in enumerate(parts)]
+    return rows.select("id", reduce(lambda a, b: a + b, parts).alias("score"))
 
 
 def murmur3_32(data: bytes, seed: int = 0) -> int:

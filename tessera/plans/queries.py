@@ -447,21 +447,25 @@ def _bm25(query: list[str], idf: bool) -> str:
     weight = "(tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * length / 256.0::DOUBLE))"
     return (
         f"WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), t AS (SELECT doc_id, len(w) AS length, unnest(w) AS token FROM d), m AS (SELECT doc_id, length, token, count(*) AS tf FROM t WHERE token IN ({words}) GROUP BY ALL), "
-        f"f AS (SELECT token, count(*) AS df FROM m GROUP BY 1), s AS (SELECT doc_id AS id, sum({weight}{' * ln((n - df + 0.5) / (df + 0.5) + 1)' if idf else ''}) AS score FROM m JOIN f USING (token), (SELECT count(*) AS n FROM documents) GROUP BY 1), "
+        f"f AS (SELECT token, count(*) AS df FROM m GROUP BY 1), s AS (SELECT doc_id AS id, round(sum({weight}{' * ln((n - df + 0.5) / (df + 0.5) + 1)' if idf else ''}), 9) AS score FROM m JOIN f USING (token), (SELECT count(*) AS n FROM documents) GROUP BY 1), "
         "r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id DESC) AS k FROM s) SELECT id, round(score, 4) AS score, CAST(k AS INT) AS rank FROM r WHERE k <= "
     )
 
 
+def _bm25_top(spark, sf_dir: str, query: str, limit: int, use_idf: bool = True) -> DataFrame:
+    """The best documents by score in nine places: SQL adds a score's terms in any order."""
+    found = bm25_search(table(spark, sf_dir, "documents"), "doc_id", "text", query, use_idf=use_idf)
+    return found.withColumn("score", F.round("score", 9)).orderBy(*fusion.ordering()).limit(limit)
+
+
 @register("bm25_search", _bm25(["from", "only", "license"], False) + "20")
 def bm25(spark, sf_dir):
-    found = bm25_search(table(spark, sf_dir, "documents"), "doc_id", "text", "from only license", use_idf=False)
-    return rounded(ranked(found.orderBy(*fusion.ordering()).limit(20), *fusion.ordering()))
+    return rounded(ranked(_bm25_top(spark, sf_dir, "from only license", 20, use_idf=False), *fusion.ordering()))
 
 
 @register("sparse_idf", _bm25(["from", "only", "license"], True) + "20")
 def sparse_idf(spark, sf_dir):
-    found = bm25_search(table(spark, sf_dir, "documents"), "doc_id", "text", "from only license")
-    return rounded(ranked(found.orderBy(*fusion.ordering()).limit(20), *fusion.ordering()))
+    return rounded(ranked(_bm25_top(spark, sf_dir, "from only license", 20), *fusion.ordering()))
 
 
 @register("token_facet", f"WITH t AS (SELECT doc_id, unnest({_WORDS}) AS token FROM documents) SELECT token, count(DISTINCT doc_id) AS df, count(*) AS n FROM t WHERE token NOT IN ({', '.join(repr(w) for w in ENGLISH_STOPWORDS)}) GROUP BY 1 ORDER BY df DESC, token LIMIT 30")
@@ -507,7 +511,7 @@ def sparse_postings(spark, sf_dir):
     "l AS (SELECT * FROM b WHERE k <= 50 UNION ALL SELECT * FROM e WHERE k <= 50), q AS (SELECT id, sum(1.0::DOUBLE / (k + 1)) AS score FROM l GROUP BY 1), z AS (SELECT *, row_number() OVER (ORDER BY score DESC, id DESC) AS n FROM q) SELECT id, round(score, 4) AS score, CAST(n AS INT) AS rank FROM z WHERE n <= 20",
 )
 def hybrid_rrf(spark, sf_dir):
-    text = bm25_search(table(spark, sf_dir, "documents"), "doc_id", "text", "the from only").orderBy(*fusion.ordering()).limit(50)
+    text = _bm25_top(spark, sf_dir, "the from only", 50)
     dense = embeddings(spark, sf_dir).query({"query": 0, "using": "cosine", "limit": 50})
     return rounded(ranked(fusion.rrf([(text, True), (dense, True)]).orderBy(*fusion.ordering()).limit(20), *fusion.ordering()))
 

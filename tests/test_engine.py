@@ -397,3 +397,16 @@ def test_two_valued(spark):
     spec = {"must": [{"key": "a", "match": {"value": 1}}]}
     assert [r[0] for r in df.select(two_valued(compile_filter(spec, context))).collect()] == [False, True]
     assert isinstance(df.schema["a"].dataType, T.IntegerType)
+
+
+def test_bm25_does_not_depend_on_partitions(spark):
+    """The same scores to the last bit, however the documents are dealt out, and no shuffle of rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    seen = set()
+    for n in (1, 4, 7):
+        found = text.bm25_search(docs.repartition(n), "doc_id", "text", "the from only license")
+        seen.add(tuple(sorted((r["id"], r["score"]) for r in found.collect())))
+    assert len(seen) == 1 and len(next(iter(seen))) > 50
+    plan = text.bm25_search(docs, "doc_id", "text", "the from")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    assert text.bm25_search(docs, "doc_id", "text", "...").count() == 0
