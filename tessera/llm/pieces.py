@@ -42,7 +42,7 @@ from tessera.llm.shingles import mix
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, ALPHA, SEED = 2, 1.0, 0
 #: Characters of the texts that are searched together (or one text), and of the lattices kept for the next.
-CHUNK, KEPT = 1 << 18, 1 << 20
+CHUNK, KEPT = 1 << 18, 3 << 20
 _UNIT = re.compile("\n|▁+[^▁\n]*|[^▁\n]+")
 _BASE = np.uint64(0x9E3779B97F4A7C13)
 
@@ -74,8 +74,6 @@ class Vocabulary:
         self.ids = np.array([table[int(h)][0] for h in self.hashes], np.int32)
         self.weights = np.array([table[int(h)][1] for h in self.hashes])
         self.byte_weight = -alpha * math.log(n)
-        self.weight_of = np.zeros(n)
-        self.weight_of[normal] = weight
         self.bytes = [self.model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
 
     @staticmethod
@@ -94,95 +92,107 @@ class Vocabulary:
 
 
 class Lattices:
-    """The lattices of units, one after another; each unit has a place for its end. Units of earlier calls
-    are kept until they take KEPT places."""
+    """The lattices of units, one after another: places (each unit has one for its end, too) and their arcs,
+    in the order of places and lengths. Units of earlier calls are kept until they take KEPT places."""
+
+    PLACES, ARCS = (("rest", np.int32), ("codes", np.uint32), ("first", np.int64)), (("length", np.int32), ("arc_id", np.int32), ("cdf", np.float32), ("log_p", np.float64))
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.clear()
 
     def clear(self) -> None:
-        wide = self.v.longest
         self.index: dict[str, int] = {}  # unit -> its first place
-        self.used = 0  # places; the arrays have room for more
-        self.rest, self.codes, self.total = np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0)
-        self.arc_id, self.cdf = np.empty((0, wide), np.int32), np.empty((0, wide), np.float32)
-
-    def _room(self, n: int) -> None:
-        if self.used + n > len(self.rest):
-            size = max(2 * len(self.rest), self.used + n)
-            for name in ("rest", "codes", "total", "arc_id", "cdf"):
-                old = getattr(self, name)
-                new = np.empty((size, *old.shape[1:]), old.dtype)
-                new[: self.used] = old[: self.used]
-                setattr(self, name, new)
+        self.used, self.arcs_used = 0, 0  # the arrays have room for more
+        for name, kind in self.PLACES + self.ARCS:
+            setattr(self, name, np.zeros(1, kind))
+
+    def _put(self, fields: tuple, base: int, new: list[np.ndarray]) -> None:
+        """Writes rows from base on, and leaves one more behind them."""
+        n = len(new[0])
+        for (name, kind), values in zip(fields, new, strict=True):
+            old = getattr(self, name)
+            if base + n + 1 > len(old):
+                whole = np.zeros(max(len(old) * 3 // 2, base + n + 1), kind)
+                whole[:base] = old[:base]
+                setattr(self, name, whole)
+            getattr(self, name)[base : base + n] = values
 
     def add(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The first places of each text's units."""
         if self.used > KEPT:
             self.clear()
-        new = [u for u in dict.fromkeys(u for us in texts for u in us) if u not in self.index]
+        known = self.index.get
+        found = [np.array([known(u, -1) for u in us], np.int64) for us in texts]
+        gaps = [np.flatnonzero(x < 0) for x in found]
+        new = dict.fromkeys(us[i] for us, gap in zip(texts, gaps, strict=True) for i in gap.tolist())
         if new:
-            self._extend(new)
-        return [np.array([self.index[u] for u in us], np.int64) for us in texts]
+            self._extend(list(new))
+            for us, x, gap in zip(texts, found, gaps, strict=True):
+                x[gap] = [known(us[i]) for i in gap.tolist()]
+        return found
 
     def _extend(self, units: list[str]) -> None:
-        v, base, wide = self.v, self.used, self.v.longest
+        v, base = self.v, self.used
         lengths = np.array([len(u) for u in units], np.int64)
-        n = int((lengths + 1).sum())
-        first = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
-        self.index.update(zip(units, (first + base).tolist(), strict=True))
+        begins = np.concatenate([[0], np.cumsum(lengths + 1)])
+        n = int(begins[-1])
+        self.index.update(zip(units, (begins[:-1] + base).tolist(), strict=True))
         codes = np.frombuffer("".join(u + "\0" for u in units).encode("utf-32-le", "surrogatepass"), np.uint32)
-        rest = np.repeat(lengths, lengths + 1) - (np.arange(n) - np.repeat(first, lengths + 1))
-        arc_id, weight = np.full((n, wide), -1, np.int32), np.full((n, wide), -np.inf)
-        live, h = np.arange(n), np.zeros(n, np.uint64)
-        for k in range(wide):  # only beginnings of pieces go on
-            live = live[rest[live] > k]
+        rest = np.repeat(lengths, lengths + 1) - (np.arange(n) - np.repeat(begins[:-1], lengths + 1))
+        live, found = np.flatnonzero(rest > 0), []
+        h, alone = np.zeros(len(live), np.uint64), live
+        for k in range(v.longest):  # only beginnings of pieces go on
+            if k:
+                more = rest[live] > k
+                live, h = live[more], h[more]
             if not len(live):
                 break
-            h[live] = h[live] * _BASE + (codes[live + k] + np.uint64(1))
-            i = np.minimum(np.searchsorted(v.hashes, h[live]), len(v.hashes) - 1)
-            hit = v.hashes[i] == h[live]
-            live, i = live[hit], i[hit]
-            arc_id[live, k], weight[live, k] = v.ids[i], v.weights[i]
-        alone = np.flatnonzero((rest > 0) & (arc_id[:, 0] < 0))  # by bytes
+            h = h * _BASE + (codes[live + k] + np.uint64(1))
+            i = np.minimum(np.searchsorted(v.hashes, h), len(v.hashes) - 1)
+            hit = v.hashes[i] == h
+            live, h, i = live[hit], h[hit], i[hit]
+            is_piece = v.ids[i] >= 0
+            found.append((live[is_piece], k + 1, v.ids[i[is_piece]], v.weights[i[is_piece]]))
+            if not k:
+                alone = np.setdiff1d(alone, found[0][0], assume_unique=True)  # by bytes
         size = np.select([codes[alone] < 0x80, codes[alone] < 0x800, codes[alone] < 0x10000], [1, 2, 3], 4)
-        weight[alone, 0] = v.byte_weight * size
-        total = np.zeros(n + wide)
-        order = np.argsort(rest, kind="stable")
-        bounds = np.searchsorted(rest[order], np.arange(int(rest.max()) + 2))
+        found.insert(0, (alone, 1, np.full(len(alone), -1, np.int32), v.byte_weight * size))
+        place = np.concatenate([x[0] for x in found])
+        length = np.concatenate([np.full(len(x[0]), x[1], np.int64) for x in found])
+        order = np.lexsort((length, place))
+        place, length = place[order], length[order]
+        arc_id, weight = (np.concatenate([x[c] for x in found])[order] for c in (2, 3))
+        first = np.searchsorted(place, np.arange(n))
+        # from the ends of the units on: exact sums, and each place's cumulated probabilities
+        total, cdf = np.zeros(n + 1), np.empty(len(place))
+        by = np.argsort(rest[place], kind="stable")
+        bounds = np.searchsorted(rest[place][by], np.arange(int(rest.max()) + 2))
         for r in range(1, len(bounds) - 1):
-            p = order[bounds[r] : bounds[r + 1]]
-            k = min(wide, r)
-            w = weight[p, :k] + total[p[:, None] + np.arange(1, k + 1)]
-            top = w.max(1)
-            e = np.exp(w - top[:, None])
-            e = np.cumsum(e, 1, out=e)
-            total[p] = top + np.log(e[:, -1])
-            weight[p, :k] = e / e[:, -1:]  # from here on the arcs' cumulated probabilities
-            weight[p, k:] = 1.0
-        self._room(n)
-        for name, new in (("rest", rest), ("codes", codes), ("total", total[:n]), ("arc_id", arc_id), ("cdf", weight)):
-            getattr(self, name)[base : base + n] = new
+            a = by[bounds[r] : bounds[r + 1]]
+            at = place[a]
+            starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            count = np.diff(np.append(starts, len(a)))
+            w = weight[a] + total[at + length[a]]
+            top = np.maximum.reduceat(w, starts)
+            e = np.exp(w - np.repeat(top, count))
+            mass = np.add.reduceat(e, starts)
+            total[at[starts]] = top + np.log(mass)
+            e = np.cumsum(e)
+            e -= np.repeat(np.concatenate([[0.0], e[starts[1:] - 1]]), count)
+            e /= np.repeat(mass, count)
+            e[starts + count - 1] = 1.0
+            cdf[a] = e
+        log_p = weight + total[place + length] - total[place]
+        self._put(self.PLACES, base, [rest, codes, first + self.arcs_used])
+        self._put(self.ARCS, self.arcs_used, [length, arc_id, cdf, log_p])
         self.used += n
-
-    def log_p(self, place: np.ndarray, arc: np.ndarray) -> np.ndarray:
-        """Log probability of arcs, given that the path comes to their places."""
-        i = self.arc_id[place, arc]
-        w = self.v.weight_of[i]
-        alone = np.flatnonzero(i < 0)
-        if len(alone):
-            c = self.codes[place[alone]]
-            w[alone] = self.v.byte_weight * np.select([c < 0x80, c < 0x800, c < 0x10000], [1, 2, 3], 4)
-        return w + self.total[place + arc + 1] - self.total[place]
+        self.arcs_used += len(place)
+        self.first[self.used] = self.arcs_used
 
     def arcs(self, place: int) -> np.ndarray:
-        """The log probabilities of the arcs of one place, -inf where there is none."""
-        out = np.full(self.v.longest, -np.inf)
-        k = np.flatnonzero(self.arc_id[place] >= 0)
-        k = k if len(k) and k[0] == 0 else np.concatenate([[0], k])
-        out[k] = self.log_p(np.full(len(k), place), k)
-        return out
+        """The log probabilities of the arcs of one place."""
+        return self.log_p[self.first[place] : self.first[place + 1]]
 
     def walk(self, start: np.ndarray, key: np.ndarray, unit: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Paths from the places `start` to their units' ends: (row of start, place, arc) in path order."""
@@ -190,25 +200,29 @@ class Lattices:
         row, at, step = np.arange(len(start)), start, 0
         live = self.rest[at] > 0
         row, at = row[live], at[live]
-        base = mix(mix(key, 11) ^ mix(unit.astype(np.uint64), salt), 13)
+        base = mix(mix(key, 11) ^ mix(unit.astype(np.uint64), salt), 13)[row]
         while len(row):
-            arc = (self.cdf[at] < _uniform(base[row], step)[:, None]).sum(1)
+            u, arc = _uniform(base, step), self.first[at]
+            on = np.flatnonzero(self.cdf[arc] < u)
+            while len(on):
+                arc[on] += 1
+                on = on[self.cdf[arc[on]] < u[on]]
             rows.append(row)
             places.append(at)
             arcs.append(arc)
-            steps.append(np.full(len(row), step))
-            at = at + arc + 1
+            steps.append(len(row))
+            at = at + self.length[arc]
             live = self.rest[at] > 0
-            row, at, step = row[live], at[live], step + 1
+            row, at, base, step = row[live], at[live], base[live], step + 1
         if not rows:
             none = np.empty(0, np.int64)
             return none, none, none
         r = np.concatenate(rows)
-        order = np.lexsort((np.concatenate(steps), r))
+        order = np.argsort(r, kind="stable")  # the steps are in order already
         return r[order], np.concatenate(places)[order], np.concatenate(arcs)[order]
 
     def ids(self, place: np.ndarray, arc: np.ndarray) -> np.ndarray:
-        out = self.arc_id[place, arc]
+        out = self.arc_id[arc]
         alone = np.flatnonzero(out < 0)
         if not len(alone):
             return out
@@ -249,7 +263,7 @@ def sample(vocabulary: Vocabulary, texts: list[str | None], keys: Sequence[int],
             if parent < 0:
                 head, begin, places = None, 0, s.units
             else:
-                unit_of, place, arc, _ = s.paths[parent]
+                unit_of, place, _, _ = s.paths[parent]
                 o, p = int(unit_of[j]), int(place[j])
                 share = np.exp(lattices.arcs(p))
                 share[list(excluded)] = 0.0
@@ -257,9 +271,10 @@ def sample(vocabulary: Vocabulary, texts: list[str | None], keys: Sequence[int],
                 new = min(int((np.cumsum(share) < u).sum()), len(share) - 1)
                 while not share[new]:
                     new -= 1
-                head, begin = (parent, j, new), o
+                arc = int(lattices.first[p]) + new
+                head, begin = (parent, j, arc), o
                 places = s.units[o:].copy()
-                places[0] = p + new + 1
+                places[0] = p + lattices.length[arc]
             todo.append((n, value, head, begin, excluded))
             start.append(places)
             key.append(np.full(len(places), s.key, np.uint64))
@@ -270,7 +285,7 @@ def sample(vocabulary: Vocabulary, texts: list[str | None], keys: Sequence[int],
         row, place, arc = lattices.walk(np.concatenate(start), np.concatenate(key), np.concatenate(unit), turn + 1)
         unit_at = np.concatenate(unit)[row]
         cut = np.searchsorted(row, np.concatenate([[0], np.cumsum(owner)]))
-        log_p = lattices.log_p(place, arc)
+        log_p = lattices.log_p[arc]
         for i, (n, value, head, begin, excluded) in enumerate(todo):
             s = searches[n]
             a, b = cut[i], cut[i + 1]
@@ -280,7 +295,7 @@ def sample(vocabulary: Vocabulary, texts: list[str | None], keys: Sequence[int],
                 parent, j, new = head
                 old = s.paths[parent]
                 p = old[1][j]
-                one = (np.array([begin]), np.array([p]), np.array([new]), lattices.log_p(np.array([p]), np.array([new])))
+                one = (np.array([begin]), np.array([p]), np.array([new]), lattices.log_p[new : new + 1])
                 path = tuple(np.concatenate([x[:j], y, z]) for x, y, z in zip(old, one, path, strict=True))
             before = np.concatenate([[0.0], np.cumsum(path[3])])
             s.paths.append(path)
@@ -289,6 +304,7 @@ def sample(vocabulary: Vocabulary, texts: list[str | None], keys: Sequence[int],
             other = -np.expm1(path[3][j:])
             if head is not None:
                 left = np.exp(lattices.arcs(int(path[1][j])))
+                new -= int(lattices.first[path[1][j]])
                 left[[*excluded, new]] = 0.0
                 other[0] = left.sum()
             at = np.flatnonzero(other > 1e-13)
@@ -300,7 +316,7 @@ def sample(vocabulary: Vocabulary, texts: list[str | None], keys: Sequence[int],
                 best = np.argpartition(-g, most - 1)[:most] if len(g) > most else np.arange(len(g))
                 for x in best.tolist():
                     step = int(at[x]) + j
-                    gone = (*excluded, new) if head is not None and step == j else (int(path[2][step]),)
+                    gone = (*excluded, new) if head is not None and step == j else (int(path[2][step] - lattices.first[path[1][step]]),)
                     heapq.heappush(s.heap, (-float(g[x]), len(s.paths), len(s.paths) - 1, step, gone))
     result = []
     for s in searches:
