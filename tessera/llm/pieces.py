@@ -195,12 +195,14 @@ class Lattices:
         return self.log_p[self.first[place] : self.first[place + 1]]
 
     def walk(self, start: np.ndarray, key: np.ndarray, unit: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Paths from the places `start` to their units' ends: (row of start, place, arc) in path order."""
+        """Paths from the places `start` to their units' ends: (row of start, place, arc) in path order.
+        key: mixed already."""
         rows, places, arcs, steps = [], [], [], []
         row, at, step = np.arange(len(start)), start, 0
         live = self.rest[at] > 0
         row, at = row[live], at[live]
-        base = mix(mix(key, 11) ^ mix(unit.astype(np.uint64), salt), 13)[row]
+        number = mix(np.arange(int(unit.max(initial=0)) + 1, dtype=np.uint64), salt)
+        base = mix(key[row] ^ number[unit[row]], 13)
         while len(row):
             u, arc = _uniform(base, step), self.first[at]
             on = np.flatnonzero(self.cdf[arc] < u)
@@ -239,9 +241,8 @@ class _Search:
 
     __slots__ = ("done", "heap", "key", "paths", "starts", "units")
 
-    def __init__(self, key: int, units: np.ndarray):
+    def __init__(self, key: int, units: np.ndarray, root: float):
         self.key, self.units = key, units
-        root = -math.log(-math.log(float(_uniform(np.uint64(key), 1 << 40)[0])))
         self.heap: list[tuple] = [(-root, 0, -1, 0, ())]
         self.paths: list[tuple] = []
         self.done: list[tuple[float, float]] = []
@@ -252,9 +253,11 @@ def sample(vocabulary: Vocabulary, texts: list[str | None], keys: Sequence[int],
     lattices = lattices or Lattices(vocabulary)
     places_of = lattices.add([_UNIT.findall(vocabulary.prepare(t or "")) for t in texts])
     seeds = mix(np.array([x & 0xFFFFFFFFFFFFFFFF for x in keys], np.uint64), seed + 17)
-    searches = [_Search(int(s), u) for s, u in zip(seeds, places_of, strict=True)]
+    roots = -np.log(-np.log(_uniform(seeds, 1 << 40)))
+    searches = [_Search(int(s), u, float(g)) for s, u, g in zip(seeds, places_of, roots, strict=True)]
     for turn in range(k):
-        todo, start, key, unit, owner = [], [], [], [], []
+        todo, start, begins = [], [], []
+        draws = _uniform(seeds, turn, 1 << 41)
         for n, s in enumerate(searches):
             if not s.heap or not len(s.units):
                 continue
@@ -267,7 +270,7 @@ def sample(vocabulary: Vocabulary, texts: list[str | None], keys: Sequence[int],
                 o, p = int(unit_of[j]), int(place[j])
                 share = np.exp(lattices.arcs(p))
                 share[list(excluded)] = 0.0
-                u = float(_uniform(np.uint64(s.key), turn, 1 << 41)[0]) * share.sum()
+                u = float(draws[n]) * share.sum()
                 new = min(int((np.cumsum(share) < u).sum()), len(share) - 1)
                 while not share[new]:
                     new -= 1
@@ -277,15 +280,18 @@ def sample(vocabulary: Vocabulary, texts: list[str | None], keys: Sequence[int],
                 places[0] = p + lattices.length[arc]
             todo.append((n, value, head, begin, excluded))
             start.append(places)
-            key.append(np.full(len(places), s.key, np.uint64))
-            unit.append(np.arange(begin, begin + len(places)))
-            owner.append(len(places))
+            begins.append(begin)
         if not todo:
             break
-        row, place, arc = lattices.walk(np.concatenate(start), np.concatenate(key), np.concatenate(unit), turn + 1)
-        unit_at = np.concatenate(unit)[row]
-        cut = np.searchsorted(row, np.concatenate([[0], np.cumsum(owner)]))
+        owner = np.array([len(x) for x in start])
+        first = np.cumsum(owner) - owner
+        unit = np.arange(int(owner.sum())) + np.repeat(np.array(begins) - first, owner)
+        own = seeds[[x[0] for x in todo]]
+        row, place, arc = lattices.walk(np.concatenate(start), np.repeat(mix(own, 11), owner), unit, turn + 1)
+        unit_at = unit[row]
+        cut = np.searchsorted(row, np.append(first, owner.sum()))
         log_p = lattices.log_p[arc]
+        leaving = []
         for i, (n, value, head, begin, excluded) in enumerate(todo):
             s = searches[n]
             a, b = cut[i], cut[i + 1]
@@ -308,16 +314,22 @@ def sample(vocabulary: Vocabulary, texts: list[str | None], keys: Sequence[int],
                 left[[*excluded, new]] = 0.0
                 other[0] = left.sum()
             at = np.flatnonzero(other > 1e-13)
-            if len(at):
-                mass = before[j:-1][at] + np.log(other[at])
-                e = -np.log(_uniform(np.uint64(s.key), turn, 1 << 42, at + j))
-                g = mass - np.log(np.exp(np.minimum(mass + value, 700.0)) + e)
-                most = k - turn + 1
-                best = np.argpartition(-g, most - 1)[:most] if len(g) > most else np.arange(len(g))
-                for x in best.tolist():
-                    step = int(at[x]) + j
-                    gone = (*excluded, new) if head is not None and step == j else (int(path[2][step] - lattices.first[path[1][step]]),)
-                    heapq.heappush(s.heap, (-float(g[x]), len(s.paths), len(s.paths) - 1, step, gone))
+            gone = (*excluded, new) if head is not None else None
+            leaving.append((s, j, at + j, before[j:-1][at] + np.log(other[at]), np.full(len(at), value), gone))
+        steps = np.concatenate([x[2] for x in leaving])
+        mass = np.concatenate([x[3] for x in leaving])
+        e = -np.log(_uniform(np.repeat(own, [len(x[2]) for x in leaving]), turn, 1 << 42, steps))
+        gumbel = mass - np.log(np.exp(np.minimum(mass + np.concatenate([x[4] for x in leaving]), 700.0)) + e)
+        most, done = k - turn + 1, 0
+        for s, j, at, _, _, gone in leaving:
+            g = gumbel[done : done + len(at)]
+            done += len(at)
+            _, place, arc, _ = s.paths[-1]
+            best = np.argpartition(-g, most - 1)[:most] if len(g) > most else np.arange(len(g))
+            for x in best.tolist():
+                step = int(at[x])
+                out = gone if gone and step == j else (int(arc[step] - lattices.first[place[step]]),)
+                heapq.heappush(s.heap, (-float(g[x]), len(s.paths), len(s.paths) - 1, step, out))
     result = []
     for s in searches:
         if not len(s.units):
