@@ -12,9 +12,12 @@ with e alone. Every pair that meets is scored, also of an entity in one text onl
 as PRIOR texts (copies of one text are one piece of evidence), so that a word seen once beside a frequent
 entity is not taken for a sign of it, while one seen once beside a rare entity is. Terms are generalised
 from GENERALISE on and removed from REMOVE on, wherever they stand in the window of that entity. A term is
+generalised to its first WIDER letters and "*", for all words that begin so, if the disclosure of these
+together is surely less than GENERALISE, else to its kind: <NUMBER>, <CODE> (with digits) or <WORD>. A term is
 a whole word of letters and digits, of any length; a word that the window's edge or the entity cuts is
 none. Counts are over all documents, and combined in the map tasks. Matches and their
-places come from one matching rule: split() gives the gaps between the matches of regexp_extract_all().
+places come from one matching rule: split() gives the gaps between the matches of regexp_extract_all(). A
+text of very many matches costs little more than its length (scanned(), pieces_of()).
 
 Defined cases: null text counts as empty; repeated rows give equal rows; ids may be null or repeated
 (nothing is keyed by them); an empty table gives an empty result; columns beside text are kept as they
@@ -32,6 +35,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW = 80
 PRIOR = 1
 GENERALISE, REMOVE = 0.85, 0.95
+#: Characters of a term that its wider term keeps.
+WIDER = 3
 
 # Each pattern matches exactly what the plain one of the contract does. Runs are possessive and begin
 # where a run can begin (or where the last match ended), so that long runs cost linear time.
@@ -47,21 +52,61 @@ _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _LETTER = r"\p{L}\p{M}\p{N}"
 _WORD = rf"[{_LETTER}]++"
 _MATCH = "array<struct<start:int,end:int,value:string>>"
+_MENTIONS = "array<struct<entity:string,start:int,end:int,left:string,right:string>>"
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def scanned(values: Column, op, block: int = 64) -> Column:
+    """For each of the values (integers from 0 on) the op of all before it, 0 for the first: within blocks,
+    and over blocks of blocks, so that the arrays which grow by an element at a time stay short."""
+
+    def grown(part: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, zero, lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def parts(xs: Column, size: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / size).cast("int")), lambda i: F.slice(xs, i * size + 1, F.lit(size)))
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), op)
+
+    def starts(sums: Column) -> Column:  # of blocks, by blocks of blocks
+        return let(parts(sums, block), lambda groups: let(grown(F.transform(groups, total), F.lit(0)), lambda heads: F.flatten(F.zip_with(groups, heads, grown))))
+
+    def whole(xs: Column) -> Column:
+        return let(parts(xs, block), lambda blocks: F.flatten(F.zip_with(blocks, starts(F.transform(blocks, total)), grown)))
+
+    return F.when(F.size(values) > 0, whole(values)).otherwise(F.array().cast("array<int>"))
 
 
 def located(text: Column, pattern: str) -> Column:
     """All matches with their places (code points, end exclusive)."""
-    values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"), F.split(text, pattern, -1).alias("gaps"))
+
+    def places(m: Column) -> Column:
+        steps = F.zip_with(F.slice(m["gaps"], 1, F.size(m["values"])), m["values"], lambda g, v: F.length(g) + F.length(v))
+        return let(scanned(steps, lambda a, b: a + b), lambda before: F.transform(m["values"], lambda v, i: let(F.get(before, i) + F.length(F.get(m["gaps"], i)), lambda start: F.struct(start.alias("start"), (start + F.length(v)).alias("end"), v.alias("value")))))
+
+    return let(found, lambda m: F.when(F.size(m["values"]) > 0, places(m)).otherwise(F.array().cast(_MATCH)))
+
+
+#: Characters of a piece of a text, and of the next piece that it repeats: more than any window.
+PIECE, LAP = 1024, 1024
 
-    def step(acc: Column, i: Column) -> Column:
-        value = F.element_at(acc["values"], i)
-        start = acc["at"] + F.length(F.element_at(acc["gaps"], i))
-        one = F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
-        return F.struct(acc["values"].alias("values"), acc["gaps"].alias("gaps"), (start + F.length(value)).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    zero = F.struct(values.alias("values"), gaps.alias("gaps"), F.lit(0).alias("at"), F.array().cast(_MATCH).alias("out"))
-    some = F.size(values) > 0
-    return F.when(some, F.aggregate(F.sequence(F.lit(1), F.size(values)), zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(_MATCH))
+def pieces_of(text: Column) -> Column:
+    """The text in pieces that overlap: a substring from a piece costs the same anywhere in a long text."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / PIECE).cast("int")), lambda i: F.substring(text, i * PIECE + 1, F.lit(PIECE + LAP)))
+
+
+def cut(text: Column, pieces: Column, at: Column, size: Column) -> Column:
+    """The `size` characters of the text from place `at` (from 0) on."""
+    near = F.substring(F.get(pieces, F.floor(at / PIECE).cast("int")), at % PIECE + 1, size)
+    return F.when(size <= LAP, near).otherwise(F.substring(text, at + 1, size))
 
 
 def _digits(value: Column) -> Column:
@@ -101,13 +146,13 @@ def _span(kind: int):
     return lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"))
 
 
-def _mention(kind: str, text: Column):
+def _mention(kind: str, text: Column, pieces: Column):
     """The entity, its place, and the text around it by position, whatever else is matched there: with one
     character more at either end, which shows whether a word is cut."""
 
     def mention(m: Column) -> Column:
         at = F.greatest(m["start"] - WINDOW - 1, F.lit(0))
-        return F.struct(_entity(kind, m["value"]).alias("entity"), m["start"].alias("start"), m["end"].alias("end"), F.substring(text, at + 1, m["start"] + 1 - at).alias("left"), F.substring(text, m["end"], F.lit(WINDOW + 2)).alias("right"))
+        return F.struct(_entity(kind, m["value"]).alias("entity"), m["start"].alias("start"), m["end"].alias("end"), cut(text, pieces, at, m["start"] + 1 - at).alias("left"), cut(text, pieces, m["end"] - 1, F.lit(WINDOW + 2)).alias("right"))
 
     return mention
 
@@ -116,18 +161,19 @@ def with_base(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
     """keep, the key of the text (h1, h2), base: spans (start, kind, end) in order, and mentions."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(*keep, whole.alias("_whole"), F.xxhash64(whole).alias("h1"), F.xxhash64(whole, F.lit(5)).alias("h2"), *[base_matches(whole, k).alias("_" + k) for k in KINDS[:-1]])
-    spans, mentions = [], []
-    for i, k in enumerate(KINDS[:-1]):
-        spans.append(F.transform("_" + k, _span(i)))
-        mentions.append(F.transform("_" + k, _mention(k, F.col("_whole"))))
+    spans = [F.transform("_" + k, _span(i)) for i, k in enumerate(KINDS[:-1])]
+
+    def mentioned(pieces: Column) -> Column:
+        return F.concat(*[F.transform("_" + k, _mention(k, F.col("_whole"), pieces)) for k in KINDS[:-1]])
+
     rows = rows.withColumn("_any", F.size(F.col("_email")) + F.size("_ip") + F.size("_card") + F.size("_phone") > 0)
     base = F.when(F.col("_any"), F.array_sort(F.concat(*spans))).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
-    return rows.withColumns({"base": base, "mentions": F.concat(*mentions)}).drop("_any", "_whole", *["_" + k for k in KINDS[:-1]])
+    return rows.withColumns({"base": base, "mentions": F.when(F.col("_any"), let(pieces_of(F.col("_whole")), mentioned)).otherwise(F.array().cast(_MENTIONS))}).drop("_any", "_whole", *["_" + k for k in KINDS[:-1]])
 
 
 def revealing_terms(docs: DataFrame, based: DataFrame, text: str, window: int = WINDOW, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """h1, h2, terms: for each distinct text, the spans (start, end, disclosure) of terms that reveal an
-    entity that it mentions. based: a stored result of with_base()."""
+    """h1, h2, terms: for each distinct text, the spans (start, end, remove, wider) of terms that reveal an
+    entity that it mentions; wider replaces the term. based: a stored result of with_base()."""
     key = ["h1", "h2"]
     mention = based.where(F.size("mentions") > 0).groupBy(*key).agg(F.first("mentions").alias("m"), F.count("*").alias("docs")).select(*key, "docs", F.explode("m").alias("m")).select(*key, "docs", "m.*")
     found = lambda side, at: F.transform(located(F.col(side), _WORD), lambda w: F.struct(F.lower(w["value"]).alias("term"), (at + w["start"]).alias("start"), (at + w["end"]).alias("end")))
@@ -138,14 +184,27 @@ def revealing_terms(docs: DataFrame, based: DataFrame, text: str, window: int =
     entities = mention.select("entity", *key).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     joint = work_table(joint.join(entities, "entity"), "joint")
     words = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), rf"[^{_LETTER}]+"))
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    terms = work_table(docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), "terms")
     share = F.col("n_e") / F.lit(based.select(*key).distinct().count())
     scored = joint.join(terms, "term").withColumn("p_e", share).where("p_e < 1")
-    posterior = (F.col("texts") * F.col("n_et") / F.col("n_t") + prior * F.col("p_e")) / (F.col("texts") + prior)
-    disclosure = 1 - F.log2(posterior) / F.log2("p_e")
-    flagged = scored.select("entity", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= generalise)
-    spans = near.join(flagged, ["entity", "term"]).groupBy(*key, "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    return spans.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "end", (F.col("disclosure") >= remove).alias("remove")))).alias("terms"))
+
+    def disclosed(texts: str, n_et: str, n_t: str) -> Column:
+        posterior = (F.col(texts) * F.col(n_et) / F.col(n_t) + prior * F.col("p_e")) / (F.col(texts) + prior)
+        return 1 - F.log2(posterior) / F.log2("p_e")
+
+    flagged = scored.withColumn("disclosure", disclosed("texts", "n_et", "n_t")).where(F.col("disclosure") >= generalise)
+    # a wider term: all words with the same beginning, bounded from what is known of them: as many
+    # documents as the most frequent of them has, and near the entity as many as all of them together
+    flagged = flagged.withColumn("wide", F.when(F.length("term") > WIDER, F.substring("term", 1, WIDER)))
+    widest = terms.where(F.length("term") > WIDER).groupBy(F.substring("term", 1, WIDER).alias("wide")).agg(F.max("n_t").alias("n_w"))
+    near_e = joint.where(F.length("term") > WIDER).groupBy("entity", F.substring("term", 1, WIDER).alias("wide")).agg(F.sum("texts").alias("texts_w"), F.sum("n_et").alias("n_ew"))
+    flagged = flagged.select("entity", "term", "disclosure", "p_e", "wide").join(widest, "wide", "left").join(near_e, ["entity", "wide"], "left")
+    hides = disclosed("texts_w", "least_w", "n_w") < generalise
+    flagged = flagged.withColumn("least_w", F.least("n_ew", "n_w")).select("entity", "term", "disclosure", F.when(hides, F.col("wide")).alias("wide"))
+    spans = near.join(flagged, ["entity", "term"]).groupBy(*key, "start", "end").agg(F.max("disclosure").alias("disclosure"), F.first("term").alias("term"), F.max("wide").alias("wide"), F.min(F.col("wide").isNotNull()).alias("hides"))
+    shape = F.when(F.col("term").rlike(r"^\p{N}+$"), "<NUMBER>").when(F.col("term").rlike(r"\p{N}"), "<CODE>").otherwise("<WORD>")
+    wider = F.when(F.col("disclosure") >= remove, "").when(F.col("hides"), F.concat("wide", F.lit("*"))).otherwise(shape)
+    return spans.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "end", (F.col("disclosure") >= remove).alias("remove"), wider.alias("wider")))).alias("terms"))
 
 
 def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, **params) -> DataFrame:
@@ -155,38 +214,55 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, **p
     return based.drop("mentions").join(terms, ["h1", "h2"], "left").withColumn("terms", F.coalesce("terms", F.array().cast(terms.schema["terms"].dataType)))
 
 
+def _replaced(text: Column, spans: Column) -> Column:
+    """The text with spans (start, kind, end, tag), in order, replaced by their tags; spans that overlap are
+    one, with the tag of the first, and that of the first base entity if a term comes before it."""
+    largest = lambda a, b: F.greatest(a, b)
+    is_base = lambda s: s["kind"] != KINDS.index("term")
+    place = lambda i: (i + 1).cast("int")
+
+    def written(pieces: Column, ends: Column, begins: Column, entities: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            at = F.get(ends, i)
+            apart = s["start"] >= at
+            begin = F.greatest(F.get(begins, i), F.when(apart, place(i)).otherwise(0))
+            entity = is_base(s) & (F.get(entities, i) < begin)
+            return F.when(apart, F.concat(cut(text, pieces, at, s["start"] - at), s["tag"])).when(entity, s["tag"]).otherwise("")
+
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(F.transform(spans, one), ""), F.substring(text, last + 1, F.length(text)))
+
+    def by_ends(ends: Column) -> Column:
+        # of the spans before: the largest end, the last that begins apart, the last base entity
+        begins = scanned(F.transform(spans, lambda s, i: F.when(s["start"] >= F.get(ends, i), place(i)).otherwise(0)), largest)
+        entities = scanned(F.transform(spans, lambda s, i: F.when(is_base(s), place(i)).otherwise(0)), largest)
+        return let(pieces_of(text), lambda p: let(begins, lambda b: let(entities, lambda e: written(p, ends, b, e))))
+
+    return let(scanned(F.transform(spans, lambda s: s["end"]), largest), by_ends)
+
+
 def sanitise(docs: DataFrame, text: str = "text", **params) -> DataFrame:
-    """docs with the spans in text replaced: base entities and generalised terms by a tag, removed terms
-    by nothing. Spans that overlap are replaced as one, with the tag of the first, and that of the first base
-    entity if a term comes before it."""
-    based = with_base(docs, text, [])
-    terms = work_table(revealing_terms(docs, work_table(based, "base"), text, **params), "terms")
+    """docs with the spans in text replaced, see _replaced(): base entities by a tag, generalised terms by
+    their wider term, removed terms by nothing. Base entities are found once."""
     names = [f"__{i}" for i in range(len(docs.columns))]  # whatever the columns are called
-    rows = docs.toDF(*names)
     own = names[docs.columns.index(text)]
-    rows = with_base(rows, own, [F.col(c) for c in names]).drop("mentions").join(terms, ["h1", "h2"], "left")
+    rows = docs.toDF(*names)
+    based = work_table(with_base(rows, own, [F.col(c) for c in names]), "base")
+    terms = work_table(revealing_terms(rows, based, own, **params), "terms")
     tag = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     spans = F.concat(
         F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), tag[s["kind"]].alias("tag"))),
-        F.coalesce(F.transform("terms", lambda s: F.struct(s["start"].alias("start"), F.lit(4).alias("kind"), s["end"].alias("end"), F.when(s["remove"], "").otherwise("<TERM>").alias("tag"))), F.array().cast("array<struct<start:int,kind:int,end:int,tag:string>>")),
+        F.coalesce(F.transform("terms", lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), s["end"].alias("end"), s["wider"].alias("tag"))), F.array().cast("array<struct<start:int,kind:int,end:int,tag:string>>")),
     )
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col(own), acc["at"] + 1, s["start"] - acc["at"])
-        term = s["kind"] == KINDS.index("term")
-        apart = F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, s["tag"]).alias("out"), term.alias("term"))
-        entity = acc["term"] & ~term  # begins inside a term
-        inside = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(entity, F.concat(acc["out"], s["tag"])).otherwise(acc["out"]).alias("out"), (acc["term"] & term).alias("term"))
-        return F.when(s["start"] >= acc["at"], apart).otherwise(inside)
-
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col(own), acc["at"] + 1, F.length(F.col(own))))
-    changed = F.size("__spans") > 0
-    clean = F.when(changed, F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(False).alias("term")), step, rest)).otherwise(F.col(own))
-    rows = rows.withColumn("__spans", F.array_sort(spans)).withColumn("__clean", clean)
+    rows = based.drop("mentions").join(terms, ["h1", "h2"], "left")
+    changed = F.size("base") > 0  # terms are found beside base entities only
+    whole = F.col(own).cast("string")
+    clean = F.when(changed, let(F.array_sort(spans), lambda found: _replaced(whole, found))).otherwise(whole)
+    rows = rows.withColumns({"__clean": clean, "__changed": changed})
     out = {c: F.col(n) for c, n in zip(docs.columns, names, strict=True)}
     out[text] = F.col("__clean")
     if "n_chars" in out:
-        out["n_chars"] = F.when(changed, F.length("__clean").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+        out["n_chars"] = F.when(F.col("__changed"), F.length("__clean").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
     return rows.select(*[v.alias(c) for c, v in out.items()])
 
 
