@@ -3,8 +3,8 @@
 Each page's element tree is hashed bottom up: an element's hash covers its tag, its text and its
 children's hashes. Spark counts, per host, the pages of different content that hold a hash; subtrees that
 recur on at least `RECUR` of these and on the share `SHARE` of them are template and are deleted, wherever
-they stand. What a page marks as no content - menus, headers, footers, sidebars, forms, scripts, notices,
-adverts, reader comments, by tag, role or class name - is deleted as well, since a host with few pages
+they stand; blocks whose text is links alone, as items of menus, from `LINKS_RECUR` and `LINKS_SHARE` on.
+What a page marks as no content - menus, headers, footers, sidebars, forms, scripts, notices, adverts, reader comments, by tag, role or class name - is deleted as well, since a host with few pages
 shows no recurrence. Inside <article> or <main> only a name that says this as a whole counts (related-links,
 not related-work), and ids of sections and headings, which tell their subject, do not. If the page has an <article> or <main>, only these are read.
 
@@ -32,13 +32,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import read, work_table
 
+#: Pages of a host, and the share of them, on which a template recurs; for blocks of links alone, as menus are.
 RECUR, SHARE = 8, 0.5
+LINKS_RECUR, LINKS_SHARE = 3, 0.1
 
 # Names that HTML gives to kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img math semantics mrow mi mn mo ms mtext mfrac msqrt mroot msup msub msubsup mover munder munderover mstyle mpadded mspace annotation tspan".split())
-NO_CONTENT = frozenset("nav header footer aside form script style noscript template iframe button select option input textarea dialog menu head title canvas audio video".split())
+NO_CONTENT = frozenset("nav header footer aside form script style noscript template iframe button select option input textarea dialog menu head title".split())
 CONTENT = frozenset("article main".split())
 NO_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NO_CONTENT_NAMES = frozenset(
@@ -50,7 +52,9 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 CLOSES_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|([^>]*)>)", re.S)
+# A tag with more than 256 quoted and other runs, or with quotes that do not close, ends at the first ">".
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)(?:((?:[^>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+'){0,256}+)>|([^>]*)>)", re.S)
+_OPEN_COMMENT = re.compile(r"<!--.*\Z", re.S)
 _RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 #: A name that begins so is marked, whatever follows.
 _BEGINNINGS = ("advert", "breadcrumb", "comment", "cookie", "navbar", "newsletter", "sidebar", "sponsor")
@@ -65,10 +69,10 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("children", "drop", "hash", "inside", "tag")
+    __slots__ = ("children", "drop", "hash", "inside", "links", "tag")
 
     def __init__(self, tag: str, drop: bool = False, inside: bool = False):
-        self.tag, self.drop, self.inside, self.children, self.hash = tag, drop, inside, [], b""
+        self.tag, self.drop, self.inside, self.children, self.hash, self.links = tag, drop, inside, [], b"", False
 
 
 def _names_frame(word: str, inside: bool) -> bool:
@@ -94,48 +98,75 @@ def _marked(attributes: str, tag: str = "", inside: bool = False) -> bool:
     return False
 
 
+class _Open:
+    """The open elements, with the places of each tag and of the blocks, so that no step searches the stack."""
+
+    def __init__(self, root: Node):
+        self.stack, self.of, self.blocks = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        at = len(self.stack)
+        self.stack.append(node)
+        self.of.setdefault(node.tag, []).append(at)
+        if node.tag not in INLINE:
+            self.blocks.append(at)
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost of these, 0 if none is open."""
+        return max((found[-1] for tag in tags if (found := self.of.get(tag))), default=0)
+
+    def close(self, at: int) -> None:
+        while len(self.stack) > at:
+            tag = self.stack.pop().tag
+            self.of[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+
+    def end(self, tag: str) -> None:
+        at = self.last(tag)
+        if at and not (tag in INLINE and at < self.blocks[-1]):  # an inline end tag does not close a block
+            self.close(at)
+
+    def begin(self, tag: str) -> None:
+        """Closes what cannot hold the tag."""
+        if tag in CLOSES_P and self.stack[self.blocks[-1]].tag == "p":
+            self.close(self.blocks[-1])
+        if tag in CLOSES_SAME and (at := self.last(*CLOSES_SAME[tag])) > self.last(*SCOPES[tag]):
+            # of tr, td and th the outermost in the table
+            while (more := self._before(at, CLOSES_SAME[tag])) > self.last(*SCOPES[tag]):
+                at = more
+            self.close(at)
+
+    def _before(self, at: int, tags: tuple[str, ...]) -> int:
+        below = at - 1
+        return below if below > 0 and self.stack[below].tag in tags else 0
+
+
 def parse(source: str) -> Node:
     """The element tree; text is a child of type str, with references decoded."""
     root = Node("#root")
-    stack, at, n = [root], 0, len(source)
+    open_, at, n = _Open(root), 0, len(source)
+    stack, last = open_.stack, source.rfind(">")  # no tag ends behind it
 
     def text(value: str) -> None:
         if value:
             stack[-1].children.append(html.unescape(value) if "&" in value else value)
 
     while at < n:
-        m = _TAG.search(source, at)
+        m = _TAG.search(source, at) if at <= last else _OPEN_COMMENT.search(source, at)
         if m is None:
             text(source[at:])
             break
         text(source[at : m.start()])
         at = m.end()
-        tag = m.group(2)
+        tag = m.group(2) if m.re is _TAG else None
         if tag is None:  # a comment, doctype or instruction
             continue
         tag = tag.lower()
         if m.group(1):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag in INLINE and stack[i].tag not in INLINE:
-                    break  # an inline end tag does not close a block
+            open_.end(tag)
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag not in INLINE:
-                    break
-        if tag in CLOSES_SAME:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in SCOPES[tag]:
-                    break
-                if stack[i].tag in CLOSES_SAME[tag]:
-                    del stack[i:]
-                    break
+        open_.begin(tag)
         attributes = m.group(3) or m.group(4) or ""
         inside = stack[-1].inside
         node = Node(tag, tag in NO_CONTENT or (bool(attributes) and tag not in ("html", "body", "article", "main") and _marked(attributes, tag, inside)), inside or tag in CONTENT)
@@ -146,7 +177,7 @@ def parse(source: str) -> Node:
             end = _RAW_END[tag].search(source, at)
             at = end.end() if end else n
             continue
-        stack.append(node)
+        open_.push(node)
     return root
 
 
@@ -160,20 +191,20 @@ def _bottom_up(root: Node) -> list[Node]:
 
 
 def hash_tree(root: Node) -> list[Node]:
-    """Sets the hash of every element that holds text; returns these elements."""
+    """Sets the hash of every element that holds text, and whether all of it is links; returns these elements."""
     out = []
     for node in _bottom_up(root):
-        h, filled = blake2b(node.tag.encode(), digest_size=8), False
+        h, filled, links = blake2b(node.tag.encode("utf-8", "surrogatepass"), digest_size=8), False, True
         for c in node.children:
             if isinstance(c, Node):
                 if c.hash:
                     h.update(b"\1" + c.hash)
-                    filled = True
+                    filled, links = True, links and c.links
             elif words := c.split():
                 h.update(b"\2" + " ".join(words).encode("utf-8", "surrogatepass"))
-                filled = True
+                filled, links = True, False
         if filled:
-            node.hash = h.digest()
+            node.hash, node.links = h.digest(), links or node.tag == "a"
             out.append(node)
     return out
 
@@ -221,30 +252,36 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def template_hashes(pages: DataFrame, url: str, source: str, recur: int = RECUR, share: float = SHARE) -> DataFrame:
-    """host, hash: subtrees on many pages of a host. Pages that are equal as a whole count as one."""
+def subtrees(root: Node) -> dict[int, bool]:
+    """The hashes of a page's elements that may be template, and whether they are blocks of links alone."""
+    return {int.from_bytes(node.hash, "little", signed=True): node.links and node.tag not in INLINE for node in hash_tree(root) if node.tag not in ("#root", "html", "body")}
+
+
+def template_hashes(pages: DataFrame, url: str, source: str, recur: int = RECUR, share: float = SHARE, links: tuple[int, float] = (LINKS_RECUR, LINKS_SHARE)) -> DataFrame:
+    """host, hash: subtrees on many pages of a host. Pages of equal content count as one."""
+    names, kinds = ["host", "hash", "links", "content"], [pa.string(), pa.int64(), pa.bool_(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, contents, hashes = [], [], []
+            out: list[tuple] = []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 root = parse(page)
-                mine = {int.from_bytes(node.hash, "little", signed=True) for node in hash_tree(root) if node.tag not in ("#root", "html", "body")}
+                mine = subtrees(root) | {0: False}  # 0 stands for the page
                 content = int.from_bytes(blake2b(main_text(root).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-                mine.add(0)  # stands for the page
-                hosts += [host] * len(mine)
-                contents += [content] * len(mine)
-                hashes += mine
-                if len(hashes) >= 65536:
-                    yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(contents, pa.int64())], names=["host", "hash", "content"])
-                    hosts, contents, hashes = [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(contents, pa.int64())], names=["host", "hash", "content"])
+                out += [(host, h, is_links, content) for h, is_links in mine.items()]
+                if len(out) >= 65536:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     rows = pages.where(F.col(url).isNotNull() & F.col(source).isNotNull()).select(host_of(F.col(url)).alias("host"), F.col(source).cast("string").alias("h"))
-    seen = rows.mapInArrow(run, "host string, hash long, content long").distinct()
-    counts = work_table(seen.groupBy("host", "hash").agg(F.count("*").alias("n")).where((F.col("n") >= recur) | (F.col("hash") == 0)), "subtrees")
+    seen = rows.mapInArrow(run, "host string, hash long, links boolean, content long").distinct()
+    enough = F.when(F.col("links"), F.lit(links[0])).otherwise(F.lit(recur))
+    counts = work_table(seen.groupBy("host", "hash", "links").agg(F.count("*").alias("n")).where((F.col("n") >= enough) | (F.col("hash") == 0)), "subtrees")
     totals = counts.where("hash = 0").select("host", F.col("n").alias("total"))
-    return counts.where("hash != 0").join(totals, "host").where(F.col("n") >= F.greatest(F.lit(recur), F.ceil(F.col("total") * share))).select("host", "hash")
+    of_all = F.ceil(F.col("total") * F.when(F.col("links"), F.lit(links[1])).otherwise(F.lit(share)))
+    return counts.where("hash != 0").join(totals, "host").where(F.col("n") >= F.greatest(enough, of_all)).select("host", "hash")
 
 
 def extract(pages: DataFrame, keep: list[str], url: str = "url", source: str = "html", **params) -> DataFrame:

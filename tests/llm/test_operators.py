@@ -7,6 +7,7 @@ import math
 import os
 import random
 import re
+import time
 import zipfile
 import zlib
 from collections import Counter, defaultdict
@@ -329,7 +330,86 @@ def test_terms_of_any_length_and_place(spark):
     terms = {r["doc_id"]: {texts[r["doc_id"]][s["start"] : s["end"]] for s in r["terms"]} for r in rows}
     assert terms[0] == {"Kim", "Lee"} and terms[1] == {"李", "K7"} and terms[2] == set() and "Jo2" in terms[3]
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs(spark, texts)).collect()}
-    assert clean[0] == f"<TERM> {fill} <EMAIL> {fill} <TERM>" and clean[1] == "<TERM> <EMAIL> <TERM>"
+    assert clean[0] == f"<WORD> {fill} <EMAIL> {fill} <WORD>" and clean[1] == "<WORD> <EMAIL> <CODE>"
+
+
+def test_wider_terms(spark):
+    """A term becomes the beginning that it shares with words of many documents, if that hides the entity."""
+    fill = "the river and the boats lay by the water"
+    texts = [f"Zebulon {fill} a@b.example.com", f"Quincy {fill} c@d.example.com"] + [f"{fill} zebra {i}" for i in range(300)] + [f"{fill} {i}" for i in range(100)]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs(spark, texts)).collect()}
+    assert clean[0] == f"zeb* {fill} <EMAIL>" and clean[1] == f"<WORD> {fill} <EMAIL>"
+
+
+def plain_terms(texts):
+    """Disclosure of every (entity, term) pair by counting, text by text; the texts differ."""
+    mentions = [[(re.sub("[^0-9]", "", t[a:b]) if k in (2, 3) else t[a:b].lower(), a, b) for a, k, b in base_spans(t)] for t in texts]
+    words = [[(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"[^\W_]+", t)] for t in texts]
+    n = len(texts)
+    n_e = Counter(e for ms in mentions for e in {m[0] for m in ms})
+    n_t = Counter(w for ws in words for w in {x[0] for x in ws})
+    near = [[(e, w, x, y) for e, a, b in ms for w, x, y in ws if (a - pii.WINDOW <= x and y <= a) or (b <= x and y <= b + pii.WINDOW)] for ms, ws in zip(mentions, words, strict=True)]
+    joint = Counter(p for xs in near for p in {(e, w) for e, w, _, _ in xs})
+    out = []
+    for xs in near:
+        found = {}
+        for e, w, x, y in xs:
+            p, m = n_e[e] / n, joint[e, w]
+            score = 1 - math.log2((m * m / n_t[w] + pii.PRIOR * p) / (m + pii.PRIOR)) / math.log2(p)
+            if score >= pii.GENERALISE:
+                found[x, y] = max(found.get((x, y), False), score >= pii.REMOVE)
+        out.append(found)
+    return out
+
+
+def test_terms_by_counting(spark):
+    rng = random.Random(8)
+    people = [("Ada Lovelace", "ada@calc.example.com"), ("Bo Li", "+33 6 12 34 56 78"), ("Cy K9", "10.1.2.3")]
+    word = lambda: rng.choice("the river and boats lay by water old stone bridge near mill".split())
+    texts = []
+    for i in range(300):
+        who, at = people[i % 3] if i < 30 else (f"p{i}", "")
+        texts.append(" ".join([*(word() for _ in range(rng.randrange(3, 30))), who if rng.random() < 0.8 else "", at, *(word() for _ in range(rng.randrange(3, 30))), f"n{i}"]))
+    got = {r["doc_id"]: {(s["start"], s["end"]): s["remove"] for s in r["terms"]} for r in pii.find(docs(spark, texts), keep=["doc_id"]).collect()}
+    want = plain_terms(texts)
+    assert sum(map(len, want)) > 30 and all(got[i] == want[i] for i in range(len(texts)))
+
+
+def plain_replaced(text, spans):
+    out, at, terms = [], 0, False
+    for a, kind, b, tag in sorted(spans):
+        if a >= at:
+            out += [text[at:a], tag]
+            terms = kind == 4
+        elif terms and kind != 4:
+            out.append(tag)
+            terms = False
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def test_spans_are_replaced(spark):
+    rng = random.Random(6)
+    rows = []
+    for n in (1, 2, 3, 10, 63, 64, 65, 200, 5000):
+        text = "".join(rng.choice("ab é😀") for _ in range(4 * n + 3000 * (n < 20)))
+        rows.append((text, [(a, k, a + rng.randrange(1, 9), f"<{k}>") for a, k in sorted({(rng.randrange(len(text) - 9), rng.randrange(5)) for _ in range(n)})]))
+    df = spark.createDataFrame(rows, "t string, s array<struct<start:int,kind:int,end:int,tag:string>>")
+    got = df.select(pii._replaced(F.col("t"), F.col("s")).alias("r")).collect()
+    assert [r["r"] for r in got] == [plain_replaced(t, s) for t, s in rows]
+
+
+def test_very_many_matches(spark):
+    """A text of 16,000 addresses: the cost of a match does not grow with their number."""
+    text = " ".join(f"a{i}@b{i}.com" for i in range(16_000))
+    df = docs(spark, [text])
+    n = lambda: df.select(F.size(pii.base_matches(F.col("text"), "email"))).collect()[0][0]
+    n()
+    start = time.time()
+    assert n() == 16_000
+    assert time.time() - start < 10
+    got = pii.find(df, keep=["doc_id"]).collect()[0]["base"]
+    assert [(s["start"], s["kind"], s["end"]) for s in got] == base_spans(text)
 
 
 def test_pii_digest(spark, tmp_path):
@@ -607,6 +687,34 @@ def test_templates_of_a_host(spark):
     assert pages.extract(df.limit(0), ["page_id"]).count() == 0
 
 
+def test_templates_by_counting(spark):
+    rng = random.Random(3)
+    parts = [f"<p>notice {i}</p>" for i in range(6)] + [f"<ul><li><a href=/{i}>menu {i}</a></ul>" for i in range(6)]
+    rows = [(n, f"http://h{n % 3}.example.com/{n}", "<body>" + "".join(p for i, p in enumerate(parts) if rng.random() < (i % 6 + 1) / 7) + f"<p>own {n}</p>") for n in range(90)]
+    rows += rows[:9]
+    held, all_of, links = defaultdict(set), defaultdict(set), {}
+    for n, url, source in rows:
+        root = pages.parse(source)
+        content = pages.main_text(root)
+        all_of[url[7:21]].add(content)
+        for h, is_links in pages.subtrees(root).items():
+            held[url[7:21], h].add(content)
+            links[h] = is_links
+    enough = lambda h, n: max(pages.LINKS_RECUR, math.ceil(n * pages.LINKS_SHARE)) if links[h] else max(pages.RECUR, math.ceil(n * pages.SHARE))
+    want = {k for k, pages_of in held.items() if len(pages_of) >= enough(k[1], len(all_of[k[0]]))}
+    got = {(r["host"], r["hash"]) for r in pages.template_hashes(spark.createDataFrame(rows, "page_id long, url string, html string"), "url", "html").collect()}
+    assert got == want and {links[h] for _, h in want} == {True, False} and len(want) < len(held) / 2
+
+
+@pytest.mark.parametrize("page", ["<a " * 333_000, "<a " * 333_000 + ">", "<div>" * 40_000 + "</section>" * 40_000, "<i><div>" + "<b>" * 40_000 + "</i>" * 40_000, "<a \"'>" * 150_000, "<!--" * 200_000, "<table>" + "<tr><td>x" * 30_000, "<" * 1_000_000], ids=range(8))
+def test_parsing_takes_linear_time(page):
+    start = time.thread_time()
+    root = pages.parse(page)
+    pages.hash_tree(root)
+    pages.main_text(root)
+    assert time.thread_time() - start < 6
+
+
 def test_op10_is_the_article(spark):
     source = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     import html
