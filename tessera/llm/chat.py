@@ -24,7 +24,7 @@ null conv_id make one conversation; an empty table gives no rows. Columns beside
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -97,10 +97,6 @@ def _matrices() -> np.ndarray:
 MATRIX = _matrices()
 
 
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.minimum((a[:, :, None] + b[None, :, :]).min(1), INF)
-
-
 def block_matrix(roles: np.ndarray) -> np.ndarray:
     """The (min, +) product of the turns' matrices, by halves."""
     m = MATRIX[roles]
@@ -114,26 +110,22 @@ def block_matrix(roles: np.ndarray) -> np.ndarray:
 IDENTITY = np.where(np.eye(4, dtype=bool), 0, INF)
 
 
-def repair(roles: list[int], enter: int = START, leave: int | None = None) -> tuple[int, list[tuple[int, int, tuple[int, ...]]]]:
-    """Cost, and for each turn (kind, state after, inserted turns), between two states (leave None: any)."""
-    cost = [INF] * 4
-    cost[enter] = 0
-    back: list[list] = []
-    for role in roles:
-        new, how = [INF] * 4, [None] * 4
-        for choice in CHOICES[role]:
-            a, b, c, _, _ = choice
-            if cost[a] + c < new[b]:
-                new[b], how[b] = cost[a] + c, choice
-        cost = new
-        back.append(how)
-    end = min(range(4), key=lambda s: (cost[s], s)) if leave is None else leave
-    state, out = end, []
-    for how in reversed(back):
-        a, b, _, kind, inserted = how[state]
-        out.append((kind, b, inserted))
-        state = a
-    return cost[end], out[::-1]
+def repair(roles: list[int], enter: int = START, beyond: Sequence[int] = (0, 0, 0, 0)) -> tuple[int, list[tuple[int, int, tuple[int, ...]]]]:
+    """Cost, and for each turn (kind, state after, inserted turns), from a state on; beyond: the least cost of
+    what follows, by the state that it follows. Of the choices that reach the least cost each turn takes the
+    first, so that a repair is the same however its conversation lies in blocks."""
+    to_go = [list(beyond)]
+    for role in reversed(roles):
+        later, here = to_go[-1], [INF] * 4
+        for a, b, cost, _, _ in CHOICES[role]:
+            here[a] = min(here[a], cost + later[b])
+        to_go.append(here)
+    to_go.reverse()
+    state, out = enter, []
+    for role, here, later in zip(roles, to_go, to_go[1:], strict=False):
+        _, state, _, kind, inserted = next(c for c in CHOICES[role] if c[0] == state and c[2] + later[c[1]] == here[state])
+        out.append((kind, state, inserted))
+    return to_go[0][enter], out
 
 
 def _head(state: int) -> str:
@@ -200,52 +192,63 @@ def _streamed(rows: DataFrame, columns: list[str], run, ddl: str) -> DataFrame:
 
 
 def repaired(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """For each turn: conv_id, part and seq (together its place in the conversation), turn, role, text,
-    action, new_role, inserted (roles of the empty turns before it), piece."""
+    """For each turn: conv_id, seq (its place in the conversation, from 0), turn, role, text, action,
+    new_role, inserted (roles of the empty turns before it), piece."""
     rows = _blocks(df, conv, turn, role, text, block)
 
     def matrix(part: int, conv_id: int | None, turns: list[tuple]) -> list[tuple]:
         roles = np.array([role_of(r) for _, _, r in turns])
-        return [(part, conv_id, block_matrix(roles).ravel().tolist())]
+        return [(part, conv_id, block_matrix(roles).ravel().tolist(), len(roles))]
 
     # blocks are ranges in the order of conversations: only a block's first and last can go beyond it
     ends = rows.groupBy("part").agg(F.min(_key()).alias("low"), F.max(_key()).alias("high"))
     edge = rows.select("part", "conv_id", "turn", "tie", "role").join(ends, "part").where((_key() == F.col("low")) | (_key() == F.col("high")))
-    matrices = work_table(_streamed(edge, ["role"], matrix, "part int, conv_id long, m array<long>"), "matrices")
+    matrices = work_table(_streamed(edge, ["role"], matrix, "part int, conv_id long, m array<long>, n long"), "matrices")
 
     def settle(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """What follows each block costs this, by the state that it follows."""
         pdf = pdf.sort_values("part")
-        ms = [np.array(m).reshape(4, 4) for m in pdf["m"]]
-        after, total = [], IDENTITY[START : START + 1]
-        for m in ms:
-            total = product(total, m)
-            after.append(total[0])
-        state = int(min(range(4), key=lambda s: (after[-1][s], s)))
-        leave = []
-        for i in range(len(ms) - 1, -1, -1):
-            leave.append(state)
-            before = after[i - 1] if i else IDENTITY[START]
-            state = int(np.argmin(before + ms[i][:, state]))
-        leave = leave[::-1]
-        n = len(ms)
-        return pd.DataFrame({"conv_id": [key[0]] * n, "part": pdf["part"], "enter": [START, *leave[:-1]], "leave": leave, "first": [i == 0 for i in range(n)], "last": [i + 1 == n for i in range(n)]}).astype({"conv_id": "Int64"})
+        beyond = [np.zeros(4, np.int64)]
+        for m in list(pdf["m"])[:0:-1]:
+            beyond.append(np.minimum((np.array(m).reshape(4, 4) + beyond[-1]).min(1), INF))
+        n, before = len(pdf), np.cumsum([0, *pdf["n"]])[:-1]
+        return pd.DataFrame({"conv_id": [key[0]] * n, "part": pdf["part"], "beyond": [b.tolist() for b in beyond[::-1]], "before": before, "first": [i == 0 for i in range(n)], "last": [i + 1 == n for i in range(n)]}).astype({"conv_id": "Int64"})
 
     # a row for each block of a conversation that goes beyond one
-    beyond = matrices.groupBy(F.col("conv_id").alias("__c")).agg(F.count("*").alias("n")).where("n > 1")
-    beyond = matrices.join(beyond, F.col("conv_id").eqNullSafe(F.col("__c")), "left_semi")
-    states = work_table(beyond.groupBy("conv_id").applyInPandas(settle, "conv_id long, part int, enter int, leave int, first boolean, last boolean"), "states")
-    states = states.select(F.col("conv_id").alias("__c"), F.col("part").alias("__p"), "enter", "leave", "first", "last")
-    bounded = rows.join(states, rows["conv_id"].eqNullSafe(F.col("__c")) & (rows["part"] == F.col("__p")), "left")
+    several = matrices.groupBy(F.col("conv_id").alias("__c")).agg(F.count("*").alias("blocks")).where("blocks > 1")
+    several = matrices.join(several, F.col("conv_id").eqNullSafe(F.col("__c")), "left_semi")
+    settled = work_table(several.groupBy("conv_id").applyInPandas(settle, "conv_id long, part int, beyond array<long>, before long, first boolean, last boolean"), "settled")
+
+    def placed(turns: DataFrame, found: DataFrame, how: str) -> DataFrame:
+        found = found.withColumnsRenamed({"conv_id": "__c", "part": "__p"})
+        return turns.join(found, turns["conv_id"].eqNullSafe(F.col("__c")) & (turns["part"] == F.col("__p")), how)
+
+    def leaves(part: int, conv_id: int | None, turns: list[tuple]) -> list[tuple]:
+        roles, beyond = [role_of(t[2]) for t in turns], turns[0][3]
+        return [(part, conv_id, [repair(roles, s, beyond)[1][-1][1] for s in range(4)])]
+
+    left = work_table(_streamed(placed(edge, settled, "inner"), ["role", "beyond"], leaves, "part int, conv_id long, leave array<int>"), "leaves")
+
+    def entered(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        states = [START]
+        for leave in list(pdf["leave"])[:-1]:
+            states.append(int(leave[states[-1]]))
+        return pd.DataFrame({"conv_id": [key[0]] * len(pdf), "part": pdf["part"], "enter": states}).astype({"conv_id": "Int64"})
+
+    states = left.groupBy("conv_id").applyInPandas(entered, "conv_id long, part int, enter int")
+    states = work_table(placed(states, settled, "inner").drop("__c", "__p"), "states")
+    bounded = placed(rows, states, "left")
 
     def act(part: int, conv_id: int | None, turns: list[tuple]) -> list[tuple]:
-        _, _, _, _, enter, leave, first, last = turns[0]
+        _, _, _, _, enter, beyond, before, first, last = turns[0]
         roles = [t[2] for t in turns]
-        _, steps = repair([role_of(r) for r in roles], START if enter is None else enter, leave)
+        _, steps = repair([role_of(r) for r in roles], START if enter is None else enter, beyond or (0, 0, 0, 0))
         made = render([t[3] or "" for t in turns], steps, first is not False, last is not False)
-        return [(conv_id, part, i, t[0], t[2], t[3], KINDS[s[0]], ROLES[s[1] - 1], ",".join(ROLES[x - 1] for x in s[2]), piece) for i, (t, s, piece) in enumerate(zip(turns, steps, made, strict=True))]
+        return [(conv_id, (before or 0) + i, t[0], t[2], t[3], KINDS[s[0]], ROLES[s[1] - 1], ",".join(ROLES[x - 1] for x in s[2]), piece) for i, (t, s, piece) in enumerate(zip(turns, steps, made, strict=True))]
 
-    out = "conv_id long, part int, seq long, turn long, role string, text string, action string, new_role string, inserted string, piece string"
-    return _streamed(bounded, ["role", "text", "enter", "leave", "first", "last"], act, out)
+    out = "conv_id long, seq long, turn long, role string, text string, action string, new_role string, inserted string, piece string"
+    return _streamed(bounded, ["role", "text", "enter", "beyond", "before", "first", "last"], act, out)
 
 
 def _key():
@@ -255,9 +258,9 @@ def _key():
 
 def rendered(pieces: DataFrame) -> DataFrame:
     """conv_id and text; for conversations that fit a row."""
-    return pieces.groupBy("conv_id").agg(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("part", "seq", "piece"))), lambda p: p["piece"])).alias("text"))
+    return pieces.groupBy("conv_id").agg(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("seq", "piece"))), lambda p: p["piece"])).alias("text"))
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repaired(read(spark, sf_dir, "conversations"))
-    return found.select("conv_id", "turn", "part", "seq", "role", "action", "new_role", "inserted", "piece", F.length("piece").cast("long").alias("n_chars"))
+    return found.select("conv_id", "turn", "seq", "role", "action", "new_role", "inserted", "piece", F.length("piece").cast("long").alias("n_chars"))

@@ -41,12 +41,20 @@ def work_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the work tables that this process has written; call it when all results are stored."""
+def written() -> int:
+    """How many work tables this process has written and not deleted: a mark for release()."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
+    """Deletes the work tables written since a mark, but for the last one if it is still needed; call it
+    when the results that read them are stored."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _WRITTEN:
+    kept = [_WRITTEN.pop()] if keep_last and len(_WRITTEN) > since else []
+    while len(_WRITTEN) > since:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         path.getFileSystem(conf).delete(path, True)
+    _WRITTEN.extend(kept)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

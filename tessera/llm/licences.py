@@ -80,6 +80,8 @@ TEMPLATES = [
 #: Licences whose full text is in licence_texts.
 FULL = ("Apache-2.0", "BSD", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-1.1", "MPL-2.0")
 RUN = 12
+#: No licence: it counts where none is found, and only with a word of OWNERS or as a line of its own.
+RESERVED, OWNERS = "Proprietary", frozenset(("copyright", "©", "proprietary", "confidential", "unauthorized"))
 LICENCE_FILE = r"(?i)^(?:licen[cs]e|copying|copyright|notice|unlicense)(?:[.-].*)?$"
 _TERM = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
@@ -92,6 +94,10 @@ def terms(text: str) -> Counter:
     return Counter(_TERM.findall(text.lower()))
 
 
+def _reserves(counts: Counter) -> bool:
+    return not OWNERS.isdisjoint(counts) or set(counts) <= {"all", "rights", "reserved"}
+
+
 def full_texts() -> list[tuple[str, str]]:
     return [(name, pkgutil.get_data(__package__, f"licence_texts/{name}.txt").decode()) for name in FULL]
 
@@ -194,7 +200,11 @@ class Templates:
         def take(counts: Counter, number: int) -> None:
             nonlocal found
             best = self.nearest(counts)
-            if best and best[1] >= self.threshold and (found is None or best[1] > found[1] + 1e-9):
+            if not best or best[1] < self.threshold or (best[0] == RESERVED and not _reserves(counts)):
+                return
+            # rights may be reserved beside a licence
+            gain = (best[0] != RESERVED) - (found is not None and found[0] != RESERVED)
+            if found is None or gain > 0 or (gain == 0 and best[1] > found[1] + 1e-9):
                 found = (*best, number)
 
         for i, part in enumerate(parts):
@@ -264,8 +274,11 @@ def inherit(scanned: DataFrame) -> DataFrame:
     needy = scanned.where("licence is null and path is not null").select(folder.alias("home")).distinct()
     parts = F.split("home", "/")
     above = needy.select("home", F.explode(F.when(F.col("home") == "", F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size(parts)))).alias("depth"), parts.alias("parts")).select("home", "depth", F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/").alias("dir"))
-    nearest = above.join(licensed, "dir").groupBy("home").agg(F.max(F.struct("depth", "dir", "dir_licence", "dir_score")).alias("near"))
-    rows = scanned.withColumn("home", F.when(F.col("licence").isNull() & F.col("path").isNotNull(), folder)).join(nearest, "home", "left")
+    nearest = work_table(above.join(licensed, "dir").groupBy("home").agg(F.max(F.struct("depth", "dir", "dir_licence", "dir_score")).alias("near")), "nearest")
+    # files with a licence of their own stay out of the join; a stored side lets Spark split a large directory
+    seeks = F.col("licence").isNull() & F.col("path").isNotNull()
+    rows = scanned.where(seeks).withColumn("home", folder).join(nearest, "home", "left").drop("home")
+    rows = rows.unionByName(scanned.where(~seeks).withColumn("near", F.lit(None).cast(nearest.schema["near"].dataType)))
     return rows.select(
         *[c for c in scanned.columns if c not in ("licence", "score")],
         F.coalesce("licence", "near.dir_licence").alias("licence"), F.coalesce("score", "near.dir_score").alias("score"),

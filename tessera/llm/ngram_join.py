@@ -49,7 +49,7 @@ from tessera.llm.shingles import fingerprint, mix, sets_of
 #: Shingles seen this often in the summaries are ranked last, the most frequent HOT_MOST of them at most
 #: (8 MB). Any such list gives exact results; it only moves work away from pivots that many documents share.
 HOT_LEAST, HOT_MOST, HOT_PART = 64, 1 << 20, 3
-SUMMARY = 1 << 22
+SUMMARY = 1 << 21
 #: How often shingles in more than REGION windows are added to that list, and the windows taken anew.
 REORDER = 2
 #: Bits of a sketch, and of the second one of sets with more than SKETCH shingles.

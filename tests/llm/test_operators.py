@@ -52,6 +52,13 @@ def test_licences(spark):
     assert licences.inherit(licences.scan(df.drop("licence").limit(0), F.col("path"), "text", [])).count() == 0
 
 
+def test_reserved_rights_are_no_licence():
+    model = licences.Templates(Counter({"the": 900, "of": 800, "all": 300, "by": 700, "so": 200, "river": 90}), 1000)
+    assert model.scan("All rights reserved by the king, so the river was closed") is None
+    assert model.scan("the river\nAll rights reserved.\n")[::2] == ("Proprietary", 2)
+    assert model.scan("All rights reserved.\n\nReleased under the MIT License.\n")[0] == "MIT"
+
+
 def test_licence_anchors_lose_nothing():
     df = Counter({"the": 900, "of": 800, "license": 30, "licensed": 20, "under": 200, "all": 300})
     model = licences.Templates(df, 1000)
@@ -236,18 +243,20 @@ def test_blocks_do_not_change_costs(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit(7)).withColumn("piece", F.lit("x"))
     cost = {"keep": 0, "merge": None}
     texts = {}
-    for block in (7, 10_000):
+    for block in (7, 20, 10_000):
         got = chat.repaired(df, block=block).collect()
+        assert sorted((str(r["conv_id"]), r["seq"]) for r in got) == sorted((str(c), i) for c, n in ((1, 60), (2, 60), (None, 60), (9, 3)) for i in range(n))
         assert len(got) == len(rows)
         total, last = 0, {}
-        for r in sorted(got, key=lambda r: (str(r["conv_id"]), r["part"], r["seq"])):
+        for r in sorted(got, key=lambda r: (str(r["conv_id"]), r["seq"])):
             role = chat.role_of(r["role"])
             state = chat.ROLES.index(r["new_role"]) + 1
             total += {"keep": 0, "insert": 2 * len(r["inserted"].split(",")), "relabel": 3 if role else 1}.get(r["action"], 1 if state == role else 4)
             last[r["conv_id"]] = state
         cost[block] = total
         texts[block] = {r["conv_id"]: r["text"] for r in chat.rendered(chat.repaired(df, block=block)).collect()}
-    assert cost[7] == cost[10_000]
+    assert cost[7] == cost[20] == cost[10_000]
+    assert texts[7] == texts[20] == texts[10_000]  # the same repair, too
     assert texts[10_000][9] == "<|system|>\n<|end|>\n<|user|>\na\n\na<|end|>\n"
     assert chat.repaired(df.limit(0)).count() == 0
 
