@@ -155,12 +155,17 @@ def binary_code(v: Column, dim: int) -> Column:
     return F.array(*words)
 
 
+#: Smaller deviations count as none: the step between 32-bit numbers at 1.
+SMALLEST = 2.0**-23
+
+
 def two_bit_code(v: Column, means: list[float], deviations: list[float], fold: bool = False) -> Column:
-    """A second bit for each component: set two thirds of a deviation above its mean and more, both set above
-    that again; `fold` halves the second bits by joining neighbours (one and a half bits)."""
-    level = [(v[i].cast("double") - m) / (s or 1.0) for i, (m, s) in enumerate(zip(means, deviations, strict=True))]
-    first = [x > -2 / 3 for x in level]
-    second = [x > 2 / 3 for x in level]
+    """Two bits for each component: none up to two thirds of a deviation below its mean, both from two
+    thirds above it on, else the first. Without a deviation the first says whether the component is positive.
+    `fold` halves the second bits by joining neighbours (one and a half bits)."""
+    level = [(v[i].cast("double") - m) / s if s >= SMALLEST else None for i, (m, s) in enumerate(zip(means, deviations, strict=True))]
+    first = [v[i] > 0 if x is None else x > -2 / 3 for i, x in enumerate(level)]
+    second = [F.lit(False) if x is None else x >= 2 / 3 for x in level]
     if fold:
         second = [second[i] | second[i + 1] if i + 1 < len(second) else second[i] for i in range(0, len(second), 2)]
     bits = first + second

@@ -26,8 +26,9 @@ def rrf(sources: list[tuple[DataFrame, bool]], k: float = 2, weights: list[float
         raise ValueError("as many weights as sources")
     rows = _tagged(sources)
     signed = F.when(F.col("larger"), -F.col("score")).otherwise(F.col("score"))
-    tie = F.when(F.col("larger"), -F.col("id").cast("decimal(20,0)")).otherwise(F.col("id").cast("decimal(20,0)"))
-    position = F.row_number().over(Window.partitionBy("source").orderBy(signed, tie))  # lists are as long as their limits
+    # one direction for each list; ids of any type that has an order
+    tie = [F.when(F.col("larger"), F.col("id")).desc(), F.when(~F.col("larger"), F.col("id")).asc()]
+    position = F.row_number().over(Window.partitionBy("source").orderBy(signed, *tie))  # lists are as long as their limits
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.col("source") + 1)
     part = F.when(w <= 0, F.lit(0.0)).otherwise(1.0 / (position / w + k - 1.0))
     return rows.withColumn("part", part).groupBy("id").agg(F.sum("part").alias("score"))

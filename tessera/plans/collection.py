@@ -79,7 +79,7 @@ class Collection:
     def retrieve(self, ids: list, with_payload=True, with_vector=False) -> DataFrame:
         """The points with these ids; missing ones are absent, repeated ids come once."""
         found = self._by_ids(self.points, list(dict.fromkeys(ids)))
-        return self._dressed(found.select(F.col(self.id).alias("id")), with_payload, with_vector)
+        return self._dressed(found.select(F.col(self.id).alias("id")), with_payload, with_vector, len(ids))
 
     def _by_ids(self, df: DataFrame, ids: list) -> DataFrame:
         if len(ids) <= 1000:
@@ -95,12 +95,12 @@ class Collection:
         df = self.where(spec)
         if order_by is None:
             df = df.where(F.col(self.id) >= offset) if offset is not None else df
-            return self._dressed(df.select(F.col(self.id).alias("id")).orderBy("id").limit(limit), with_payload, with_vector).orderBy("id")
+            return self._dressed(df.select(F.col(self.id).alias("id")).orderBy("id").limit(limit), with_payload, with_vector, limit).orderBy("id")
         if offset is not None:
             raise ValueError("order_by has start_from, no offset")
         page, asc = self._ordered(df, order_by)
         page = page.orderBy(*self._direction(asc)).limit(limit)
-        return self._dressed(page, with_payload, with_vector).orderBy(*self._direction(asc))
+        return self._dressed(page, with_payload, with_vector, limit).orderBy(*self._direction(asc))
 
     def next_page(self, spec: dict | None, limit: int, offset=None):
         """The id with which the next page begins, or None."""
@@ -162,7 +162,7 @@ class Collection:
         narrow = narrow.orderBy(*order)
         narrow = narrow.offset(offset) if offset else narrow
         narrow = narrow if limit is None else narrow.limit(limit)
-        return self._dressed(narrow, request.get("with_payload", False), request.get("with_vector", False)).orderBy(*order)
+        return self._dressed(narrow, request.get("with_payload", False), request.get("with_vector", False), limit).orderBy(*order)
 
     def query_batch(self, requests: list[dict]) -> DataFrame:
         """The results of independent requests, with query_id. Nearest queries that differ only in their
@@ -281,14 +281,18 @@ class Collection:
         return [p] if isinstance(p, dict) else p
 
     def _query(self, request: dict) -> tuple[DataFrame, list[Column]]:
+        return self._ranked(request)[:2]
+
+    def _ranked(self, request: dict) -> tuple[DataFrame, list[Column], bool]:
+        """The rows, their order, and whether that begins with the largest."""
         named = list(dict.fromkeys(self._named_ids(request)))
         without = {"must_not": [{"has_id": named}]} if named else None
         df, larger = self._stage(request, merge(request.get("filter"), without), 0)
         if larger is None:
-            return df, [F.col("place").asc()] if "place" in df.columns else [F.asc("id")]
+            return df, [F.col("place").asc()] if "place" in df.columns else [F.asc("id")], False
         if "order_value" in df.columns:
-            return df, self._direction(not larger)
-        return df, fusion.ordering(larger)
+            return df, self._direction(not larger), larger
+        return df, fusion.ordering(larger), larger
 
     def _stage(self, request: dict, spec: dict | None, depth: int) -> tuple[DataFrame, bool | None]:
         """(id, score) rows that are not cut yet, and whether larger is better (None: as they come)."""
@@ -410,8 +414,7 @@ class Collection:
     def query_groups(self, request: dict, group_by: str, group_size: int = GROUP_SIZE, limit: int = LIMIT, with_lookup: Collection | None = None) -> DataFrame:
         """The best `limit` groups and `group_size` hits of each: group_id, group_rank, hit_rank, id, score.
         A point with several keys is in several groups; keys are strings or integers."""
-        narrow, order = self._query({**request, "limit": None})
-        larger = order[0]._jc.toString().endswith("DESC NULLS LAST")
+        narrow, order, larger = self._ranked({**request, "limit": None})
         values = self.context().values(group_by)
         kind = values.value_type
         if isinstance(kind, T.VariantType):
@@ -472,15 +475,17 @@ class Collection:
 
     # late materialisation
 
-    def _dressed(self, narrow: DataFrame, with_payload, with_vector) -> DataFrame:
-        """Adds payload and vectors to the final ids; ids that are gone are dropped."""
+    def _dressed(self, narrow: DataFrame, with_payload, with_vector, limit: int | None) -> DataFrame:
+        """Adds payload and vectors to the final ids, broadcast only if the limit bounds them; ids that are
+        gone are dropped."""
         fields = self._payload_columns(with_payload)
         names = [n for n in self.vectors if with_vector is True or (isinstance(with_vector, list) and n in with_vector)]
         vectors = [F.col(self.vectors[n].column).alias(f"vector_{n}" if n else "vector") for n in names]
         if not fields and not vectors:
             return narrow
         rest = self.points.select(F.col(self.id).alias("__id"), *fields, *vectors)
-        return rest.join(F.broadcast(narrow), F.col("__id") == F.col("id")).select(*narrow.columns, *rest.columns[1:])
+        small = limit is not None and limit <= BROADCAST_IDS
+        return rest.join(F.broadcast(narrow) if small else narrow, F.col("__id") == F.col("id")).select(*narrow.columns, *rest.columns[1:])
 
     def _payload_columns(self, selector) -> list[Column]:
         if not selector:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import Tokenizer
 from tessera.plans.collection import Collection, Vector
+from tessera.sources.files import replace_file
 
 FIELD_TYPES = ("keyword", "integer", "float", "geo", "text", "bool", "datetime", "uuid")
 
@@ -88,13 +89,7 @@ class Catalog:
         return json.loads(self.spark.read.text(p.toString(), wholetext=True).first()[0]) if fs.exists(p) else default
 
     def _write(self, name: str, value) -> None:
-        tmp, fs = self._at(name + ".tmp")
-        p, _ = self._at(name)
-        out = fs.create(tmp, True)
-        out.write(json.dumps(value).encode())
-        out.close()
-        fs.delete(p, False)
-        fs.rename(tmp, p)
+        replace_file(self.spark, f"{self.path}/{name}", json.dumps(value))
 
     def _name(self, name: str) -> str:
         return (self._read("aliases.json", {}) or {}).get(name, name)

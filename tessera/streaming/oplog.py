@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.plans.predicates import Context, compile_filter
+from tessera.sources.files import replace_file
 from tessera.streaming.payloads import delete_json, merge_json
 
 LOG_SCHEMA = "op_num long, kind string, body string"
@@ -181,13 +182,7 @@ class OpLog:
             return
         version = f"version-{uuid.uuid4().hex}"
         replay(self.state(), ops).write.parquet(f"{self.path}/{version}")
-        tmp, fs = self._fs("CURRENT.tmp")
-        target, _ = self._fs("CURRENT")
-        out = fs.create(tmp, True)
-        out.write(json.dumps({"version": version, "op_num": max(o[0] for o in ops)}).encode())
-        out.close()
-        fs.delete(target, False)
-        fs.rename(tmp, target)
+        replace_file(self.spark, f"{self.path}/CURRENT", json.dumps({"version": version, "op_num": max(o[0] for o in ops)}))
 
     def stream(self, log_dir: str, checkpoint: str, **trigger):
         """A streaming query over JSON log files: batches strictly one after the other."""

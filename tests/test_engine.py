@@ -410,3 +410,26 @@ def test_bm25_does_not_depend_on_partitions(spark):
     plan = text.bm25_search(docs, "doc_id", "text", "the from")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
     assert text.bm25_search(docs, "doc_id", "text", "...").count() == 0
+
+
+def test_two_bit_edges(spark):
+    """Both bits from exactly two thirds of a deviation on; without a deviation the sign alone counts."""
+    rows = spark.createDataFrame([([2.0 / 3, -2.0 / 3, 0.5, -0.5],), ([0.7, -0.6, -0.5, 0.0],)], "v array<double>")
+    codes = [r[0][0] for r in rows.select(vectors.two_bit_code(F.col("v"), [0.0] * 4, [1.0, 1.0, 0.0, 0.0])).collect()]
+    assert codes == [0b0001_0101, 0b0001_0011]
+
+
+def test_fusion_of_string_ids(spark):
+    one = spark.createDataFrame([("b", 0.9), ("a", 0.9), ("c", 0.1)], "id string, score double")
+    two = spark.createDataFrame([("c", 1.0), ("b", 2.0), ("a", 2.0)], "id string, score double")
+    got = {r["id"]: r["score"] for r in fusion.rrf([(one, True), (two, False)]).collect()}
+    assert got == pytest.approx({"b": 1 / 2 + 1 / 4, "a": 1 / 3 + 1 / 3, "c": 1 / 4 + 1 / 2})
+
+
+def test_files_are_replaced(spark, tmp_path):
+    from tessera.sources.files import replace_file
+
+    for text in ("one", "two", "three"):
+        replace_file(spark, f"{tmp_path}/CURRENT", text)
+        assert (tmp_path / "CURRENT").read_text() == text
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["CURRENT"]
