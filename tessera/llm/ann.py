@@ -7,9 +7,13 @@ the centroids, until the cells that it has visited hold a share of all rows; it
 the exact inner product in double precision. The share is calibrated on the sample so that `RECALL` of
 the sample's own neighbours is reached, by the same rule at every size.
 
-Cells are laid out in blocks of `BLOCK` rows; a cell of many rows (one vector that most rows hold, say)
-is split over several blocks, and queries come in blocks too, so that no task holds more than one block
-of either. A query is sent once to each block that has a cell it visits.
+The codebooks grow with the table, so that a cell holds about `CELL` rows, up to one centroid for each
+`SAMPLE_A_CENTROID` sampled vectors (256); so the driver sees at most 65,536 cells. Cells in order share
+places of `BLOCK` rows; a cell of more rows (one vector that most rows hold, say) is a place of several
+blocks. A query is sent once to each block of the places that have a cell it visits, and where more than
+`QUERIES` queries visit a place, its entries are repeated for each so many of them: what is shuffled is in
+proportion to the comparisons, at most one row for `QUERIES` or `BLOCK` of them beside the table itself.
+Places that no query visits are not sent at all.
 
 Defined cases: rows with a null id, or a vector that is null, zero, of another length than most, or holds
 null or non-finite components, take no part. Rows that repeat an id and its vector count once; an id with
@@ -31,9 +35,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import read, work_table
 
 SAMPLE, PROBES = 8192, 256
-CENTROIDS = 16
+CELL, SAMPLE_A_CENTROID = 64, 32
 RECALL = 0.95
-BLOCK, QUERIES = 8192, 2048
+BLOCK, QUERIES = 4096, 2048
 K = 20
 
 
@@ -61,7 +65,7 @@ class MultiIndex:
         self.half = first.shape[1]
 
     @classmethod
-    def fit(cls, sample: np.ndarray, centroids: int = CENTROIDS, recall: float = RECALL, k: int = K) -> MultiIndex:
+    def fit(cls, sample: np.ndarray, centroids: int, recall: float = RECALL, k: int = K) -> MultiIndex:
         half = sample.shape[1] // 2
         index = cls(_kmeans(sample[:, :half], centroids, 1), _kmeans(sample[:, half:], centroids, 2))
         cells = index.cells(sample)
@@ -119,30 +123,30 @@ def _valid(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 
 def _layout(sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each cell its first block and its number of blocks; cells in order share blocks up to `block` rows."""
-    first, many, at, room = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, block
+    """The place of each cell and the number of blocks of that place; cells in order share one up to `block` rows."""
+    place, many, at, held = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, 0
     for c, n in enumerate(sizes):
-        if n > block:
-            at += room < block
-            first[c], many[c] = at, -(-n // block)
-            at, room = at + int(many[c]), block
-        else:
-            if n > room:
-                at, room = at + 1, block
-            first[c], room = at, room - n
-    return first, many
-
-
-def search(base: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, sample: int = SAMPLE, centroids: int = CENTROIDS, recall: float = RECALL, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
+        if held and held + n > block:
+            at, held = at + 1, 0
+        place[c], many[c], held = at, max(1, -(-n // block)), held + n
+    return place, many
+
+
+def codebook_size(rows: int, sample: int = SAMPLE) -> int:
+    """Centroids of a half, by which a table of so many rows has about CELL of them in a cell."""
+    return max(2, min(math.ceil(math.sqrt(rows / CELL)), sample // SAMPLE_A_CENTROID))
+
+
+def search(base: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, sample: int = SAMPLE, centroids: int | None = None, recall: float = RECALL, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products found for each row of queries among the
-    rows of base with another id."""
+    rows of base with another id. The number of centroids is that of `codebook_size` where it is None."""
     spark = base.sparkSession
     rows = _valid(base, vec_id, embedding)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
     if width is None:
         return empty
-    w = width["w"]
+    w, centroids = width["w"], centroids or codebook_size(width["count"], sample)
     rows = rows.where(F.size("v") == w)
     drawn = rows.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(sample).toArrow()
     index = MultiIndex.fit(_matrix(drawn.column("v").combine_chunks()), centroids, recall, k) if w > 1 else None
@@ -163,35 +167,45 @@ def search(base: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embeddin
     sizes = np.zeros(len(index.first) * len(index.second), np.int64)
     for r in indexed.groupBy("cell").agg(F.count("*").alias("n")).collect():  # centroids ** 2 rows at most
         sizes[r["cell"]] = r["n"]
-    first, many = _layout(sizes, block)
+    place, many = _layout(sizes, block)
     asked = _valid(queries, vec_id, embedding).where(F.size("v") == w).groupBy("id").agg(F.min("v").alias("v"))
-    n_queries = asked.count()
-    parts = max(1, -(-n_queries // query_block))
-    state = spark.sparkContext.broadcast((index.first, index.second, sizes, index.share, first, many))
+    state = spark.sparkContext.broadcast((index.first, index.second, sizes, index.share, place, many))
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b_, n, share, first, many = state.value
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b_, n, share, at, _ = state.value
         own = MultiIndex(a, b_, n, share)
         for b in batches:
-            if not len(b):
-                continue
-            at, blocks, cells = [], [], []
-            for i, q in enumerate(wide(_matrix(b.column(1)))):
+            cells = [own.visited(q, k) for q in wide(_matrix(b.column(1)))] if len(b) else []
+            places = [np.unique(at[c]).tolist() for c in cells]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cells, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int32()))], names=["id", "v", "cells", "places"])
+
+    routed = work_table(asked.mapInArrow(walk, "id long, v array<double>, cells array<int>, places array<int>"), "routed")
+    parts = np.zeros(int(place[-1]) + 1, np.int64)
+    for r in routed.select(F.explode("places").alias("place")).groupBy("place").agg(F.count("*").alias("n")).collect():  # no more than cells
+        parts[r["place"]] = -(-r["n"] // query_block)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, blocks = state.value[4:]
+        for b in batches:
+            rows, keys, block_of, cells = [], [], [], []
+            for i, mine in enumerate(b.column(2).to_pylist()):
                 to: dict[int, list[int]] = {}
-                for c in own.visited(q, k):
-                    for j in range(first[c], first[c] + many[c]):
-                        to.setdefault(int(j), []).append(c)
-                at += [i] * len(to)
-                blocks += to
-                cells += to.values()
-            for s in range(0, len(at), 4096):
-                take = pa.array(at[s : s + 4096], pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(blocks[s : s + 4096], pa.int32()), pa.array(cells[s : s + 4096], pa.list_(pa.int32()))], names=["id", "v", "block", "cells"])
-
-    layout = spark.createDataFrame([(int(c), int(first[c]), int(many[c])) for c in np.flatnonzero(sizes)], "cell int, first int, many int")
-    entries = indexed.join(F.broadcast(layout), "cell").select("id", "v", "cell", (F.col("first") + F.expr("pmod(xxhash64(id), many)")).cast("int").alias("block"))
-    entries = entries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    sent = asked.mapInArrow(route, "id long, v array<double>, block int, cells array<int>").withColumn("part", F.expr(f"cast(pmod(xxhash64(id), {parts}) as int)"))
+                for c in mine:
+                    to.setdefault(int(at[c]), []).append(c)
+                for p, held in to.items():
+                    for j in range(blocks[held[0]]):
+                        rows.append(i)
+                        keys.append(p)
+                        block_of.append(j)
+                        cells.append(held)
+            for s in range(0, len(rows), 4096):
+                e, take = s + 4096, pa.array(rows[s : s + 4096], pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(keys[s:e], pa.int32()), pa.array(block_of[s:e], pa.int32()), pa.array(cells[s:e], pa.list_(pa.int32()))], names=["id", "v", "place", "block", "cells"])
+
+    layout = spark.createDataFrame([(int(c), int(place[c]), int(many[c]), int(parts[place[c]])) for c in np.flatnonzero(sizes) if parts[place[c]]], "cell int, place int, many int, parts int")
+    splits = layout.select("place", "parts").distinct()
+    entries = indexed.join(F.broadcast(layout), "cell").select("id", "v", "cell", "place", F.expr("cast(pmod(xxhash64(id), many) as int)").alias("block"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
+    sent = routed.mapInArrow(send, "id long, v array<double>, place int, block int, cells array<int>").join(F.broadcast(splits), "place").withColumn("part", F.expr("cast(pmod(xxhash64(id), parts) as int)")).drop("parts")
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -218,7 +232,7 @@ def search(base: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embeddin
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    found = entries.groupBy("block", "part").cogroup(sent.groupBy("block", "part")).applyInArrow(rerank, "query_id long, vec_id long, score double")
+    found = entries.groupBy("place", "block", "part").cogroup(sent.groupBy("place", "block", "part")).applyInArrow(rerank, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

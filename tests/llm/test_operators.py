@@ -184,6 +184,32 @@ def test_search_recall_ties_and_bad_rows(spark, tmp_path):
     assert ann.search(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_layout_holds_every_cell():
+    sizes = np.array([0, 3, 4, 0, 20, 0, 1, 2, 9, 8, 1])
+    place, many = ann._layout(sizes, 8)
+    assert sorted(set(place)) == list(range(place[-1] + 1))
+    for p in set(place):
+        held = sizes[place == p]
+        assert held.sum() <= 8 or (many[place == p][held > 0] == -(-held.sum() // 8)).all()
+        assert held.sum() <= 8 or (held > 0).sum() == 1  # a cell of several blocks has its place alone
+    assert [ann.codebook_size(n) for n in (0, 600, 10_256, 10**6, 10**12)] == [2, 4, 13, 125, 256]
+
+
+@pytest.mark.parametrize("block, query_block, centroids", [(64, 4, 3), (4096, 2048, 20)])
+def test_search_is_the_same_however_it_is_split(spark, block, query_block, centroids):
+    """All cells visited (recall 1 on the whole table): the exact neighbours, each once."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=6).round(1).tolist()) for i in range(400)] + [(1000 + i, [0.5] * 6) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(df, df.where("vec_id % 20 = 0"), centroids=centroids, recall=1.0, block=block, query_block=query_block, sample=600).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], round(r["score"], 9)))
+    want = neighbours(rows)
+    assert set(got) == set(want)
+    assert all(len({i for i, _ in v}) == 20 for v in got.values())
+    assert sum(len(set(got[q]) & {(i, round(s, 9)) for i, s in want[q]}) for q in want) >= 0.98 * 20 * len(want)
+
+
 def test_op3_recall_on_tables(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     want = neighbours(rows)
