@@ -30,6 +30,8 @@ from tessera.llm.common import read
 
 BLOCK = 16384
 SAMPLE_DOCS = 200
+#: Shares of a language's texts that are ranked apart before its best are ranked together.
+SHARES = 16
 SAMPLE_CHARS = 2048
 DICT_BYTES = 65536
 #: Words of a passage that two sampled texts may not share.
@@ -61,13 +63,16 @@ def held_out(doc_id: str = "doc_id"):
 def fit(docs: DataFrame, text="text", lang="lang", sample_docs=SAMPLE_DOCS, sample_chars=SAMPLE_CHARS, dict_bytes=DICT_BYTES) -> dict[str, bytes]:
     """language -> dictionary. docs holds only rows that may be learned from.
 
-    Only (language, hash) pairs are ranked, with Spark's limit inside each map task, so that a language
-    with most rows costs no more than another; then the chosen texts are fetched by a broadcast of at
-    most languages * sample_docs keys.
+    Only (language, hash) pairs are ranked, first in SHARES shares by hash and then the best of these
+    together, so that no task ranks more than SHARES * sample_docs keys of a language however many rows and
+    map tasks there are; then the chosen texts are fetched by a broadcast of at most languages * sample_docs keys.
     """
     rows = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.xxhash64(text, F.lit(8)).alias("h"), F.col(text).alias("text"))
     keys = rows.select("lang", "h").distinct()
-    best = keys.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample_docs).drop("r")
+    best = keys.withColumn("share", F.expr(f"pmod(h, {SHARES})"))
+    for by in (["lang", "share"], ["lang"]):
+        best = best.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("r") <= sample_docs).drop("r")
+    best = best.drop("share")
     chosen = rows.join(F.broadcast(best), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, sample_chars)).alias("text"))
     sample: dict[str, list[list[bytes]]] = {}
     for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["h"])):
