@@ -8,6 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[str] = []
+#: Spark's own sizes of an Arrow batch, and ours: texts lie in them, in the JVM and in its Python workers at once.
+_BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4MB"),
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,5 +62,13 @@ def release(spark: SparkSession, since: int = 0, keep_last: bool = False) -> Non
     _WRITTEN.extend(kept)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches of whole texts stay small, for the rest of the session (Spark reads the settings when a
+    query runs, not when it is planned). A size that the user has chosen stays."""
+    for key, (default, ours) in _BATCHES.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, ours)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read
+from tessera.llm.common import read, small_batches
 
 BLOCK = 16384
 SAMPLE_DOCS = 200
@@ -146,6 +146,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text="text", keep:
     ddl = added_ddl = "lang_pred string, score double, rejected boolean, best_bytes long, second_bytes long"
     if kept:
         ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in kept]).schema) + ", " + added_ddl
+    small_batches(docs.sparkSession)
     blob = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read, work_table
+from tessera.llm.common import read, small_batches, work_table
 from tessera.llm.components import components
 from tessera.llm.shingles import fingerprint, mix, sets_of
 
@@ -293,6 +293,7 @@ def links(space: _Space, cells: DataFrame, pivots: DataFrame) -> DataFrame:
 def labelled(docs: DataFrame, k: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, key (of the row), n (size of the set), label (of the group; null if the set is empty) and
     component_id for each row of docs."""
+    small_batches(docs.sparkSession)
     hot = frequent_shingles(docs, text, k)
     for again in range(REORDER + 1):
         sig = work_table(signatures(docs, doc_id, text, k, num, den, hot), "signatures")

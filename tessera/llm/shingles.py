@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _RNG = np.random.Generator(np.random.PCG64(20))
 _OF_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -49,12 +49,8 @@ class _Powers:
         return cls.up[:n], cls.down[:n]
 
 
-def _chunk_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
-    """data: the bytes of the texts, offsets: where each begins, and the end; from 0."""
-    n = len(offsets) - 1
-    empty = np.empty(0, np.uint64)
-    if not len(data):
-        return [empty] * n
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins, and its hash, which does not depend on the place."""
     inside = _IS_WORD[data]
     cut = np.zeros(len(data) + 1, bool)  # a text begins here
     cut[offsets] = True
@@ -63,12 +59,40 @@ def _chunk_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarra
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | cut[1:-1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    if not len(start):
-        return [empty] * n
     up, down = _Powers.of(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_OF_BYTE[data] * up, out=sums[1:])
-    words = mix((sums[end] - sums[start]) * down[start])
+    return start, mix((sums[end] - sums[start]) * down[start]) if len(start) else np.empty(0, np.uint64)
+
+
+def _pieces(data: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Cuts one text after separators, into pieces of `most` bytes or, where a word is longer, up to its end."""
+    at = 0
+    while at < len(data):
+        end = at + most
+        if end < len(data):
+            gaps = np.flatnonzero(~_IS_WORD[data[at:end]])
+            if len(gaps):
+                end = at + int(gaps[-1]) + 1
+            else:
+                while end < len(data) and _IS_WORD[data[end : end + most]].all():
+                    end += most
+                end += int(np.argmin(_IS_WORD[data[end : end + most]])) if end < len(data) else 0
+        yield at, min(end, len(data))
+        at = end
+
+
+def _chunk_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
+    """data: the bytes of the texts, offsets: where each begins, and the end; from 0."""
+    n = len(offsets) - 1
+    empty = np.empty(0, np.uint64)
+    if n == 1 and len(data) > CHUNK:
+        parts = [(a, *_words(data[a:b], np.array([0, b - a]))) for a, b in _pieces(data, CHUNK)]
+        start, words = np.concatenate([a + s for a, s, _ in parts]), np.concatenate([w for _, _, w in parts])
+    else:
+        start, words = _words(data, offsets) if len(data) else (empty, empty)
+    if not len(start):
+        return [empty] * n
     doc = np.searchsorted(offsets, start, "right") - 1
     first = np.searchsorted(doc, np.arange(n + 1))
     count = np.diff(first)

@@ -19,7 +19,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, chat, langid, licences, media, ngram_join, packing, pages, pieces, pii
+from tessera.llm import ann, chat, langid, licences, media, ngram_join, packing, pages, pieces, pii, shingles
 from tessera.llm.components import components
 from tessera.llm.shingles import sets_of
 
@@ -143,6 +143,17 @@ def test_segmentations_by_row_key(spark, vocabulary):
     assert pieces.encode(df.limit(0), "doc_id", "text").count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abQ \t\n\u00e9\u3000", max_size=60) | st.none(), max_size=6), st.integers(1, 40))
+def test_shingles_do_not_depend_on_pieces(texts, most):
+    whole = [s.tolist() for s in sets_of(pa.array(texts, pa.string()), 3)]
+    before, shingles.CHUNK = shingles.CHUNK, most
+    try:
+        assert [s.tolist() for s in sets_of(pa.array(texts, pa.string()), 3)] == whole
+    finally:
+        shingles.CHUNK = before
+
+
 # 3 nearest neighbours
 
 
