@@ -633,6 +633,45 @@ def payload_merge(spark, sf_dir):
     return now.select("id", "version", F.get_json_object("payload", "$.event_type").alias("event_type"), F.get_json_object("payload", "$.seen").alias("seen"))
 
 
+def _op(name: str, kind: str, body: dict, sql: str):
+    """One operation on the state of the first half of the log."""
+
+    @register(name, sql)
+    def run(spark, sf_dir):
+        from tessera.streaming.oplog import apply_op
+
+        old, _ = _states(spark, sf_dir)
+        return _typed(apply_op(old, 1 << 40, kind, body))
+
+
+_CLICKS = {"filter": {"must": [_c("event_type", match={"value": "click"})]}}
+_ON_CLICKS = f"SELECT id, CASE WHEN event_type = 'click' THEN {1 << 40} ELSE version END AS version, CASE WHEN event_type = 'click' THEN %s ELSE event_type END AS event_type FROM ({_OLD})"
+_op("delete_by_ids", "delete", {"ids": list(range(0, 40, 2))}, f"SELECT * FROM ({_OLD}) WHERE id NOT IN (SELECT * FROM range(0, 40, 2))")
+_op("overwrite_payload", "overwrite_payload", {"payload": {"event_type": "new"}, **_CLICKS}, _ON_CLICKS % "'new'")
+_op("clear_payload", "clear_payload", _CLICKS, _ON_CLICKS % "NULL")
+_op("delete_payload_keys", "delete_payload", {"keys": ["event_type", "absent"], **_CLICKS}, _ON_CLICKS % "NULL")
+_op("update_batch", "batch", {"operations": [{"kind": "overwrite_payload", "body": {"payload": {"event_type": "new"}, **_CLICKS}}, {"kind": "delete", "body": {"filter": {"must": [_c("event_type", match={"value": "view"})]}}}]}, f"SELECT * FROM ({_ON_CLICKS % repr('new')}) WHERE event_type <> 'view'")
+
+
+def _vector_op(name: str, kind: str, body: dict, first: str, version: str):
+    """One operation on points with the vectors of embeddings, at version 1."""
+
+    @register(name, f"SELECT vec_id AS id, CAST({version} AS BIGINT) AS version, {first} AS first FROM embeddings")
+    def run(spark, sf_dir):
+        from tessera.streaming.oplog import apply_op
+
+        rows = table(spark, sf_dir, "embeddings")
+        payload = F.to_json(F.struct("label"))
+        state = rows.select(F.col("vec_id").cast("long").alias("id"), F.lit(1).cast("long").alias("version"), payload.alias("payload"), F.col("embedding").cast("array<float>").alias("vector_"))
+        now = apply_op(state, 7, kind, body)
+        return now.select("id", "version", F.round(F.try_element_at("vector_", F.lit(1)).cast("double"), 4).alias("first"))
+
+
+_FIRST = "round(embedding[1]::DOUBLE, 4)"
+_vector_op("update_vectors", "update_vectors", {"points": [{"id": i, "vector": [i + 0.5, 1.0]} for i in (3, 5, 8)]}, f"CASE WHEN vec_id IN (3, 5, 8) THEN vec_id + 0.5::DOUBLE ELSE {_FIRST} END", "CASE WHEN vec_id IN (3, 5, 8) THEN 7 ELSE 1 END")
+_vector_op("delete_vectors", "delete_vectors", {"vectors": [""], "filter": {"must": [_c("label", match={"any": [1, 2]})]}}, f"CASE WHEN label IN (1, 2) THEN NULL ELSE {_FIRST} END", "CASE WHEN label IN (1, 2) THEN 7 ELSE 1 END")
+
+
 # routing
 
 _CENTRES = "c AS (SELECT label AS shard, list(a ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS a FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label)"
