@@ -334,7 +334,7 @@ class Collection:
             return rows.select(F.col(self.id).alias("id"), F.lit(1.0).alias("score")), None
         if kind == "sample":
             seed = q.get("seed")
-            key = F.rand() if seed is None else F.xxhash64(F.col(self.id), F.lit(int(seed)))
+            key = F.rand() if seed is None else F.md5(F.concat_ws(":", F.col(self.id).cast("string"), F.lit(str(seed))))  # as in matrix_pairs
             return rows.select(F.col(self.id).alias("id"), F.lit(1.0).alias("score"), key.alias("place")), None
         if kind == "order_by":
             page, asc = self._ordered(rows, q["order_by"])

@@ -240,7 +240,7 @@ def distance_matrix_offsets(spark, sf_dir):
     return rounded(c.matrix_offsets(c.matrix_pairs(40, 3, "cosine", seed=7)))
 
 
-@register("sample_random")
+@register("sample_random", "SELECT c_custkey AS id, 1.0::DOUBLE AS score, md5(concat_ws(':', c_custkey, '3')) AS place FROM customer ORDER BY place, id LIMIT 100")
 def sample_random(spark, sf_dir):
     return rows_of(spark, sf_dir, "customer", "c_custkey").query({"query": {"sample": "random", "seed": 3}, "limit": 100})
 
@@ -763,5 +763,16 @@ def sparse_functions(spark, sf_dir):
     return _sparse(spark, sf_dir).select("vec_id", F.round(F.coalesce(sparse_dot(F.col("v"), _SPARSE_Q), F.lit(0.0)), 4).alias("score"))
 
 
+_VOTES = "WITH v AS (SELECT l_partkey AS id, CAST(l_suppkey % 5 AS INT) AS shard, count(*) AS votes FROM lineitem GROUP BY 1, 2)"
+
+
+@register("placement_votes", _VOTES + " SELECT id, shard FROM v WINDOW w AS (PARTITION BY id) QUALIFY (votes >= max(votes) OVER w - 1 AND max(votes) OVER w >= 2) OR row_number() OVER (PARTITION BY id ORDER BY votes DESC, shard) = 1")
+def placement_votes(spark, sf_dir):
+    from tessera.operators.routing import shards_by_votes
+
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), (F.col("l_suppkey") % 5).cast("int").alias("shard"))
+    return shards_by_votes(lines.groupBy("id", "shard").agg(F.count("*").alias("votes")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["knn_cosine_filtered"](spark, sf_dir)
