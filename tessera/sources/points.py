@@ -2,23 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def from_rows(spark: SparkSession, points: list[dict], vectors: list[str] = ("",)) -> DataFrame:
-    """id, payload (VARIANT) and vector_<name> columns from a list of points."""
-    import json
+def point_id(x) -> str:
+    """An id as text: a number, or a UUID in its usual spelling, whatever way it was written."""
+    if isinstance(x, int) or str(x).isdigit():
+        if not 0 <= int(x) < 1 << 63:
+            raise ValueError(f"id {x} does not fit a long")
+        return str(int(x))
+    return str(uuid.UUID(str(x)))
+
 
+def canonical_id(x: Column) -> Column:
+    """point_id for a column: hex digits of a UUID in lower case with hyphens; numbers as they are."""
+    digits = F.regexp_replace(F.lower(x), r"^urn:uuid:|[{}-]", "")
+    parts = F.regexp_replace(digits, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    return F.when(x.rlike(r"^[0-9]{1,19}$"), x.cast("long").cast("string")).when(digits.rlike(r"^[0-9a-f]{32}$"), parts).otherwise(F.raise_error(F.concat(F.lit("neither a number nor a UUID: "), x)))
+
+
+def from_rows(spark: SparkSession, points: list[dict], vectors: list[str] = ("",)) -> DataFrame:
+    """id, payload (VARIANT) and vector_<name> columns from a list of points; ids are long if all are numbers,
+    else text."""
+    ids = [point_id(p["id"]) for p in points]
+    numbers = all(i.isdigit() for i in ids)
     rows = []
-    for p in points:
-        if not 0 <= int(p["id"]) < 1 << 63:
-            raise ValueError(f"id {p['id']} does not fit a long")
+    for p, i in zip(points, ids, strict=True):
         v = p.get("vector") or {}
         v = v if isinstance(v, dict) else {"": v}
-        rows.append((int(p["id"]), json.dumps(p.get("payload") or {}), *[[float(x) for x in v[n]] if v.get(n) is not None else None for n in vectors]))
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("payload", T.StringType()), *[T.StructField(f"vector_{n}", T.ArrayType(T.FloatType())) for n in vectors]])
+        rows.append((int(i) if numbers else i, json.dumps(p.get("payload") or {}), *[[float(x) for x in v[n]] if v.get(n) is not None else None for n in vectors]))
+    schema = T.StructType([T.StructField("id", T.LongType() if numbers else T.StringType()), T.StructField("payload", T.StringType()), *[T.StructField(f"vector_{n}", T.ArrayType(T.FloatType())) for n in vectors]])
     return spark.createDataFrame(rows, schema).withColumn("payload", F.parse_json("payload"))
 
 

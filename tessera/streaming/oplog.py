@@ -1,8 +1,10 @@
 """Changes of a collection: an ordered log of operations over a versioned state table.
 
-State: id, version, payload (JSON text), one column for each named vector. Operations are rows (op_num,
-kind, body); `apply_op` composes one as DataFrame changes on the state, `replay` a batch of them in order.
-`OpLog` runs a file stream through foreachBatch: each batch makes a new directory of state and then swaps
+State: id (a long, or text for UUIDs), version, payload (JSON text), one column for each named vector.
+Operations are rows (op_num, kind, body); `apply_op` composes one as DataFrame changes on the state, `replay` a
+batch of them in order. In `replay_log` the points of plain upserts stay in Spark: a run of upserts without
+another operation in between is one join with the newest row of each id; other operations, which name ids, a
+filter or a payload, come to the driver. `OpLog` runs a file stream through foreachBatch: each batch makes a new directory of state and then swaps
 a pointer file, so that readers and repeated batches see whole versions only. An operation older than or
 equal to a point's version does nothing, so replays change nothing.
 """
@@ -18,13 +20,14 @@ from pyspark.sql import types as T
 
 from tessera.plans.predicates import Context, compile_filter
 from tessera.sources.files import replace_file
+from tessera.sources.points import canonical_id, point_id
 from tessera.streaming.payloads import delete_json, merge_json
 
 LOG_SCHEMA = "op_num long, kind string, body string"
 
 
-def state_schema(vectors: list[str]) -> T.StructType:
-    fields = [T.StructField("id", T.LongType()), T.StructField("version", T.LongType()), T.StructField("payload", T.StringType())]
+def state_schema(vectors: list[str], id_type: str = "long") -> T.StructType:
+    fields = [T.StructField("id", T.StringType() if id_type == "string" else T.LongType()), T.StructField("version", T.LongType()), T.StructField("payload", T.StringType())]
     return T.StructType(fields + [T.StructField(f"vector_{v}", T.ArrayType(T.FloatType())) for v in vectors])
 
 
@@ -40,7 +43,7 @@ def _matches(state: DataFrame, spec: dict | None) -> Column:
 
 def _target(state: DataFrame, body: dict, op_num: int) -> Column:
     """The points that an operation changes: by ids or by filter, and older than it."""
-    where = F.col("id").isin(body["ids"]) if "ids" in body else _matches(state, body.get("filter"))
+    where = F.col("id").isin([_id_of(state)(i) for i in body["ids"]]) if "ids" in body else _matches(state, body.get("filter"))
     return where & (F.col("version") <= op_num if body.get("_again") else F.col("version") < op_num)
 
 
@@ -51,6 +54,11 @@ def latest(rows: DataFrame, key: str = "id", version: str = "version") -> DataFr
     return best.select(*[F.col(c) if c in (key, version) else F.col(f"r.{c}").alias(c) for c in rows.columns])
 
 
+def _id_of(state: DataFrame):
+    """Ids as the state has them; a UUID in any spelling is the same id."""
+    return point_id if isinstance(state.schema["id"].dataType, T.StringType) else int
+
+
 def _incoming(state: DataFrame, body: dict, op_num: int) -> DataFrame:
     """Points of an upsert; of equal ids the last one counts. Row form, or the columnar form."""
     points = body.get("points")
@@ -61,10 +69,11 @@ def _incoming(state: DataFrame, body: dict, op_num: int) -> DataFrame:
         each = [{n: v[i] for n, v in vectors.items()} if isinstance(vectors, dict) else vectors[i] for i in range(len(b["ids"]))]
         points = [{"id": i, "vector": v, "payload": p} for i, v, p in zip(b["ids"], each, payloads, strict=True)]
     rows = {}
+    own = _id_of(state)
     for p in points:
         v = p.get("vector") or {}
         v = v if isinstance(v, dict) else {"": v}
-        rows[p["id"]] = (int(p["id"]), op_num, json.dumps(p.get("payload") or {}), *[[float(x) for x in v[n]] if n in v else None for n in (c.removeprefix("vector_") for c in _vectors(state))])
+        rows[own(p["id"])] = (own(p["id"]), op_num, json.dumps(p.get("payload") or {}), *[[float(x) for x in v[n]] if n in v else None for n in (c.removeprefix("vector_") for c in _vectors(state))])
     return state.sparkSession.createDataFrame(list(rows.values()), state.schema)
 
 
@@ -85,13 +94,30 @@ def _change(state: DataFrame, hit: Column, op_num: int, **columns: Column) -> Da
     return state.withColumn("__hit", hit).withColumns({**changed, "version": F.when(F.col("__hit"), F.lit(op_num)).otherwise(F.col("version"))}).select(*state.columns)
 
 
-def apply_op(state: DataFrame, op_num: int, kind: str, body: dict) -> DataFrame:
+#: Operations that report ids which no point has.
+NEED_POINTS = ("update_vectors", "delete_vectors", "set_payload", "overwrite_payload", "delete_payload", "clear_payload")
+
+
+def missing(state: DataFrame, kind: str, body: dict) -> list:
+    """The ids that an operation names and no point has; one scan of the id column."""
+    if kind not in NEED_POINTS or body.get("update_filter"):
+        return []
+    named = body.get("ids") if "ids" in body else [p["id"] for p in body.get("points") or []]
+    named = dict.fromkeys(map(_id_of(state), named or []))
+    found = {r["id"] for r in state.where(F.col("id").isin(list(named))).select("id").collect()} if named else set()  # ids of one request
+    return [i for i in named if i not in found]
+
+
+def apply_op(state: DataFrame, op_num: int, kind: str, body: dict, strict: bool = False) -> DataFrame:
+    """strict: an operation that names absent points is an error, as for a request; a log is replayed without."""
+    if strict and (absent := missing(state, kind, body)):
+        raise KeyError(f"no points {absent}")
     if kind == "upsert":
         return upsert(state, _incoming(state, body, op_num), body.get("mode", "upsert"), body.get("update_filter"), bool(body.get("_again")))
     if kind == "sync":
         new = _incoming(state, body, op_num)
-        low, high = body["from"], body["to"]
-        keep = [p["id"] for p in body["points"]]
+        low, high = (_id_of(state)(body[k]) for k in ("from", "to"))
+        keep = [_id_of(state)(p["id"]) for p in body["points"]]
         gone = F.col("id").between(low, high) & ~(F.col("id").isin(keep) if keep else F.lit(False))
         left = state.where(~(gone & (F.col("version") < op_num)))
         same = left.select("id", *[F.col(c).alias("__" + c) for c in left.columns if c not in ("id", "version")])
@@ -140,6 +166,47 @@ def replay(state: DataFrame, ops: list[tuple[int, str, dict]], cut: int = 16) ->
     return state
 
 
+_POINTS = "points array<struct<id: string, payload: string, vector: string>>"
+
+
+def _plain(body: Column) -> Column:
+    """Upserts in row form without a mode or a condition."""
+    rest = F.coalesce(F.get_json_object(body, "$.mode"), F.lit("upsert")) == "upsert"
+    return rest & F.get_json_object(body, "$.points").isNotNull() & F.get_json_object(body, "$.update_filter").isNull()
+
+
+def _newest_points(state: DataFrame, ops: DataFrame) -> DataFrame:
+    """The last row of each id in plain upserts, as rows of the state."""
+    each = ops.select("op_num", F.posexplode(F.from_json("body", _POINTS)["points"]).alias("at", "p"))
+    vector = F.col("p.vector")
+    dense = F.from_json(vector, "array<float>")
+    by_name = F.from_json(vector, "map<string,array<float>>")
+    columns = {c: F.when(F.startswith(F.ltrim(vector), F.lit("[")), dense if c == "vector_" else F.lit(None).cast("array<float>")).otherwise(F.try_element_at(by_name, F.lit(c.removeprefix("vector_")))) for c in _vectors(state)}
+    own = canonical_id(F.col("p.id")) if isinstance(state.schema["id"].dataType, T.StringType) else F.col("p.id").cast("long")
+    rows = each.select(own.alias("id"), F.struct("op_num", "at").alias("__at"), F.col("op_num").alias("version"), F.coalesce("p.payload", F.lit("{}")).alias("payload"), *[v.alias(c) for c, v in columns.items()])
+    return latest(rows, version="__at").select(*state.columns)
+
+
+def replay_log(state: DataFrame, log: DataFrame, cut: int = 16) -> DataFrame:
+    """The rows of a log in their order. Only what is no plain upsert is collected: as many requests as one
+    micro-batch holds, without their points where these are many."""
+    log = log.withColumn("__plain", (F.col("kind") == "upsert") & _plain(F.col("body")))
+    others = [(r["op_num"], r["kind"], json.loads(r["body"])) for r in log.where("not __plain").orderBy("op_num").collect()]
+    upserts = log.where("__plain")
+    starts = F.array(*[F.lit(o[0]).cast("long") for o in others]) if others else F.array().cast("array<long>")
+    upserts = upserts.withColumn("__run", F.size(F.filter(starts, lambda x: x < F.col("op_num"))))
+    runs = {r[0] for r in upserts.select("__run").distinct().collect()}  # one more than `others` at most
+    done = 0
+    for n in range(len(others) + 1):
+        if n in runs:
+            state, done = upsert(state, _newest_points(state, upserts.where(F.col("__run") == n))), done + 1
+        if n < len(others):
+            state, done = apply_op(state, *others[n]), done + 1
+        if done >= cut and state.sparkSession.sparkContext.getCheckpointDir():
+            state, done = state.checkpoint(), 0
+    return state
+
+
 def pending(ops: DataFrame, after: int) -> DataFrame:
     """The log from an operation on."""
     return ops.where(F.col("op_num") > after).orderBy("op_num")
@@ -154,8 +221,8 @@ def newest_ops(ops: DataFrame, peer: str = "peer", clock: str = "clock", tick: s
 class OpLog:
     """A state directory: version-<uuid>/ (Parquet) and the pointer file CURRENT."""
 
-    def __init__(self, spark: SparkSession, path: str, vectors: list[str]):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), state_schema(vectors)
+    def __init__(self, spark: SparkSession, path: str, vectors: list[str], id_type: str = "long"):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), state_schema(vectors, id_type)
 
     def _fs(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -177,12 +244,13 @@ class OpLog:
     def apply(self, batch: DataFrame) -> None:
         """Applies what is new in a batch of log rows, then moves the pointer."""
         _, done = self.current()
-        ops = [(r["op_num"], r["kind"], json.loads(r["body"])) for r in pending(batch, done).collect()]  # one micro-batch of requests
-        if not ops:
+        new = batch.where(F.col("op_num") > done)
+        last = new.agg(F.max("op_num")).first()[0]
+        if last is None:
             return
         version = f"version-{uuid.uuid4().hex}"
-        replay(self.state(), ops).write.parquet(f"{self.path}/{version}")
-        replace_file(self.spark, f"{self.path}/CURRENT", json.dumps({"version": version, "op_num": max(o[0] for o in ops)}))
+        replay_log(self.state(), new).write.parquet(f"{self.path}/{version}")
+        replace_file(self.spark, f"{self.path}/CURRENT", json.dumps({"version": version, "op_num": last}))
 
     def stream(self, log_dir: str, checkpoint: str, **trigger):
         """A streaming query over JSON log files: batches strictly one after the other."""
