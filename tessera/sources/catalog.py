@@ -5,6 +5,7 @@ snapshots and request limits. All files go through Hadoop's file systems, so any
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
@@ -28,6 +29,21 @@ class StrictMode:
     max_conditions: int | None = None
     unindexed_filtering: bool = True
     max_batch: int | None = None
+    max_upsert: int | None = None
+    read_rate: int | None = None
+    write_rate: int | None = None
+
+    def check_batch(self, requests: list[dict], indexed: set[str] = frozenset()) -> None:
+        if self.max_batch is not None and len(requests) > self.max_batch:
+            raise ValueError(f"more than {self.max_batch} requests at once")
+        for r in requests:
+            self.check(r, indexed)
+
+    def check_update(self, kind: str, body: dict) -> None:
+        """Points of an upsert, in row or columnar form."""
+        many = len(body.get("points") or (body.get("batch") or {}).get("ids") or ())
+        if self.max_upsert is not None and kind == "upsert" and many > self.max_upsert:
+            raise ValueError(f"more than {self.max_upsert} points in an upsert")
 
     def check(self, request: dict, indexed: set[str] = frozenset()) -> None:
         limit = request.get("limit", 10)
@@ -46,6 +62,21 @@ class StrictMode:
             self.check(p, indexed)
 
 
+class Rate:
+    """A bucket of `per_minute` tokens that fills evenly; a request takes what it costs or is refused."""
+
+    def __init__(self, per_minute: int, clock=time.monotonic):
+        self.per_minute, self.clock, self.left, self.at = per_minute, clock, float(per_minute), clock()
+
+    def take(self, cost: int = 1) -> None:
+        now = self.clock()
+        self.left = min(float(self.per_minute), self.left + (now - self.at) * self.per_minute / 60)
+        self.at = now
+        if cost > self.left:
+            raise RuntimeError(f"more than {self.per_minute} requests a minute")
+        self.left -= cost
+
+
 def conditions(spec):
     """The key, or None, of each condition in a filter."""
     for clause in ("must", "should", "must_not"):
@@ -79,6 +110,14 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._rates: dict[tuple[str, str], Rate] = {}
+
+    def _take(self, name: str, kind: str, per_minute: int | None, cost: int = 1) -> None:
+        if per_minute is not None:
+            rate = self._rates.get((name, kind))
+            if rate is None or rate.per_minute != per_minute:
+                rate = self._rates[name, kind] = Rate(per_minute)
+            rate.take(cost)
 
     def _at(self, name: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -118,6 +157,7 @@ class Catalog:
         config = self._config(name)
         if config["read_only"]:
             raise PermissionError(f"{name} is routed by a static policy and takes no writes")
+        self._take(self._name(name), "write", self.strict(name).write_rate)
         self._store(self._name(name), points, config)
 
     def drop(self, name: str) -> None:
@@ -139,9 +179,17 @@ class Catalog:
         return StrictMode(**self._config(name)["strict"])
 
     def query(self, name: str, request: dict) -> DataFrame:
-        self.strict(name).check(request, set(self._config(name)["fields"]))
+        strict = self.strict(name)
+        strict.check(request, set(self._config(name)["fields"]))
+        self._take(self._name(name), "read", strict.read_rate)
         return self.open(name).query(request)
 
+    def query_batch(self, name: str, requests: list[dict]) -> DataFrame:
+        strict = self.strict(name)
+        strict.check_batch(requests, set(self._config(name)["fields"]))
+        self._take(self._name(name), "read", strict.read_rate, len(requests))
+        return self.open(name).query_batch(requests)
+
     def aliases(self, actions: list[dict]) -> None:
         """create, rename and delete, all or nothing."""
         now = self._read("aliases.json", {}) or {}
@@ -205,6 +253,22 @@ class Catalog:
         c = self._read(f"snapshots/{key}/config.json")
         self._store(name, self.spark.read.parquet(f"{self.path}/snapshots/{key}/data"), c)
 
+    def manifest(self, name: str) -> dict[str, int]:
+        """The data files of the current version and their sizes."""
+        c = self._config(name)
+        root, fs = self._at(f"{self._name(name)}/{c['version']}")
+        files, out = fs.listFiles(root, True), {}
+        base = fs.makeQualified(root).toUri().getPath()
+        while files.hasNext():
+            f = files.next()
+            out[f"{c['version']}{f.getPath().toUri().getPath().removeprefix(base)}"] = f.getLen()
+        return out
+
+    def partial_snapshot(self, name: str, have: dict[str, int]) -> dict[str, list[str]]:
+        """What a holder of the files in `have` must fetch and may drop to hold the current version."""
+        now = self.manifest(name)
+        return {"fetch": sorted(f for f, n in now.items() if have.get(f) != n), "drop": sorted(f for f in have if f not in now)}
+
     def compact(self, name: str, rows_per_file: int = 1_000_000) -> None:
         """Rewrites small files."""
         points = self.open(name).points
