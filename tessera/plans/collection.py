@@ -76,6 +76,16 @@ class Collection:
     def count(self, spec: dict | None = None) -> DataFrame:
         return self.where(spec).agg(F.count("*").alias("count"))
 
+    def count_estimate(self, spec: dict | None = None, bits: int = 7, seed: int = 0) -> DataFrame:
+        """An approximate count from the points whose hashed id begins with `bits` zero bits (1 of 2^bits): count,
+        and low and high at two standard errors. The filter is evaluated on these only."""
+        ids = F.col(self.id).cast("string")
+        drawn = F.substring(F.md5(F.concat_ws(":", ids, F.lit(str(seed)))), 1, 8) < F.lit(f"{1 << (32 - bits):08x}")
+        n, share = F.count("*").cast("double"), 2.0**-bits
+        error = 2 * F.sqrt(n * (1 - share)) / share
+        found = self.narrowed(points=self.points.where(drawn)).where(spec)
+        return found.agg((n / share).alias("count"), F.greatest(F.lit(0.0), n / share - error).alias("low"), (n / share + error).alias("high"))
+
     def retrieve(self, ids: list, with_payload=True, with_vector=False) -> DataFrame:
         """The points with these ids; missing ones are absent, repeated ids come once."""
         found = self._by_ids(self.points, list(dict.fromkeys(ids)))
