@@ -184,11 +184,19 @@ def binary_code_of(q: list[float]) -> list[int]:
 
 
 def product_codes(v: Column, books: list[list[list[float]]]) -> Column:
-    """books: for each chunk of the vector its centroids; the nearest one's number for each chunk."""
-    out, at = [], 0
-    for book in books:
-        wide = len(book[0])
-        distances = F.array(*[_sum([(v[at + i].cast("double") - x) * (v[at + i].cast("double") - x) for i, x in enumerate(c)]) for c in book])
-        out.append((F.array_position(distances, F.array_min(distances)) - 1).cast("int"))
-        at += wide
-    return F.array(*out)
+    """books: for each chunk of the vector its centroids; the nearest one's number for each chunk, the first in
+    case of ties; null stays null. A matrix product for each chunk and Arrow batch, so that the plan does not
+    grow with the books."""
+    chunks = [np.array(b, dtype=np.float64) for b in books]
+    starts = np.cumsum([0, *[c.shape[1] for c in chunks]])
+
+    @F.arrow_udf("array<int>")
+    def codes(batch: pa.Array) -> pa.Array:
+        held = batch.drop_null()
+        x = held.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, starts[-1])
+        near = [np.argmin((c**2).sum(1) - 2 * x[:, a:b] @ c.T, axis=1) for c, a, b in zip(chunks, starts[:-1], starts[1:], strict=True)]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(chunks)), pa.array(np.stack(near, axis=1).ravel().astype(np.int32)))
+        valid = batch.is_valid().to_numpy(zero_copy_only=False)
+        return lists.take(pa.array(np.cumsum(valid) - 1, pa.int64(), mask=~valid))
+
+    return codes(v)

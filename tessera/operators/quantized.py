@@ -3,11 +3,15 @@ an exact pass rescores these."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import binary_code, binary_code_of, dot, hamming, normalised, scalar_codes, scalar_dot
+from tessera.functions.vectors import binary_code, binary_code_of, dot, hamming, normalised, product_codes, scalar_codes, scalar_dot
 from tessera.operators.fusion import ordering
+from tessera.operators.routing import kmeans
 
 
 def bounds(df: DataFrame, vector: str, quantile: float | None = None) -> tuple[float, float]:
@@ -39,3 +43,23 @@ def binary_search(df: DataFrame, id_col: str, vector: str, query: list[float], l
     coded = df.select(id_col, binary_code(F.col(vector), len(q)).alias("code"))
     coarse = coded.select(id_col, hamming(F.col("code"), binary_code_of(q)).alias("s")).orderBy(F.asc("s"), F.desc(id_col)).limit(int(limit * oversampling))
     return _rescored(df, id_col, vector, coarse, q, limit)
+
+
+def product_books(sample: np.ndarray, chunk: int, size: int = 256, seed: int = 0) -> list[list[list[float]]]:
+    """For each chunk of the vectors its centroids, trained on a bounded sample."""
+    return [kmeans(sample[:, s : s + chunk], size, seed=seed).tolist() for s in range(0, sample.shape[1], chunk)]
+
+
+def product_search(df: DataFrame, id_col: str, vector: str, query: list[float], books: list[list[list[float]]], limit: int = 10, oversampling: float = 4.0) -> DataFrame:
+    """The query's product with each centroid is a table of literals; a code's score is a look-up for each chunk.
+    Equal codes have equal scores to nine places, of which the larger ids stay."""
+    q = normalised(query)
+    parts, at = [], 0
+    for book in books:
+        wide = len(book[0])
+        parts.append([float(np.dot(q[at : at + wide], c)) for c in book])
+        at += wide
+    coded = df.select(id_col, product_codes(F.col(vector), books).alias("codes"))
+    score = reduce(lambda a, b: a + b, [F.array(*map(F.lit, table))[F.col("codes")[i]] for i, table in enumerate(parts)])
+    coarse = coded.select(id_col, F.round(score, 9).alias("s")).orderBy(F.desc("s"), F.desc(id_col)).limit(int(limit * oversampling))
+    return _rescored(df, id_col, vector, coarse, q, limit)

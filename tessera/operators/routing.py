@@ -6,6 +6,9 @@ partition predicates, so that Spark never lists or reads the other partitions.
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -131,6 +134,24 @@ def shards_by_votes(votes: DataFrame, delta: int = 1) -> DataFrame:
     return votes.join(best, "id").where(near | (F.col("shard") == -F.col("b.s"))).select("id", "shard")
 
 
+def node_weights(near: DataFrame, shard_of: DataFrame, delta: int = 0) -> DataFrame:
+    """The load of sampled nodes. near: (id, place, node), the nodes nearest to each point in order; shard_of:
+    (node, shard). Of each shard that holds a point by votes, the first of its nodes counts the point."""
+    voted = near.join(shard_of, "node")
+    first = voted.groupBy("id", "shard").agg(F.count("*").alias("votes"), F.min_by("node", "place").alias("node"))
+    kept = first.join(shards_by_votes(first.select("id", "shard", "votes"), delta), ["id", "shard"])
+    counted = kept.groupBy("node").agg(F.count("*").alias("weight"))
+    return shard_of.select("node").join(counted, "node", "left").select("node", F.coalesce("weight", F.lit(0)).alias("weight"))
+
+
+def lloyd_step(df: DataFrame, v: str, centroids: np.ndarray) -> DataFrame:
+    """One step over all rows: (shard, v), the mean of the rows nearest to each centroid. Sums are combined in
+    the map tasks, so that a task sends a vector for each shard."""
+    of = df.select(nearest_centroid(F.col(v), centroids).alias("shard"), F.posexplode(v).alias("i", "x"))
+    means = of.groupBy("shard", "i").agg(F.avg(F.col("x").cast("double")).alias("a"))
+    return means.groupBy("shard").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "a"))), lambda s: s["a"]).alias("v"))
+
+
 def split_large(shards: np.ndarray, points: np.ndarray, cap: float = 1.5, least: float = 0.3, seed: int = 0) -> np.ndarray:
     """Splits shards above cap times the ideal size in two, if both parts keep `least` of it."""
     shards = shards.copy()
@@ -173,8 +194,16 @@ def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return hits.groupBy("query_id").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.lit(k)).alias("recall"))
 
 
+def checksum(artifact: dict) -> str:
+    """Of everything in an artifact but the checksum itself."""
+    return hashlib.sha256(json.dumps({k: v for k, v in artifact.items() if k != "checksum"}, sort_keys=True).encode()).hexdigest()
+
+
 def validate(artifact: dict, shards: int) -> None:
-    """A routing artifact names its schema, dense shard ids from 0, and vectors of one width."""
+    """A routing artifact names its schema, dense shard ids from 0, vectors of one width and, if it has one, the
+    checksum of its contents."""
+    if "checksum" in artifact and artifact["checksum"] != checksum(artifact):
+        raise ValueError("the artifact does not fit its checksum")
     ids = sorted({s for m in artifact["members"] for s in m})
     if artifact.get("version") != 1 or ids != list(range(shards)):
         raise ValueError("the artifact is not of version 1, or its shards are not dense")
