@@ -776,3 +776,6 @@ def placement_votes(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["knn_cosine_filtered"](spark, sf_dir)
+
+
+from tessera.plans import queries_stored  # noqa: E402, F401  registers its own queries

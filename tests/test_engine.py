@@ -433,3 +433,106 @@ def test_files_are_replaced(spark, tmp_path):
         replace_file(spark, f"{tmp_path}/CURRENT", text)
         assert (tmp_path / "CURRENT").read_text() == text
     assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["CURRENT"]
+
+
+def test_replayed_log_is_the_replay(spark):
+    log = spark.createDataFrame([(o, k, json.dumps(b)) for o, k, b in OPS], oplog.LOG_SCHEMA)
+    empty = spark.createDataFrame([], oplog.state_schema([""]))
+    assert contents(oplog.replay_log(empty, log)) == FINAL
+    # several points of one id in one operation: the last one; named vectors; a payload of nested values
+    points = [{"id": 1, "vector": {"a": [1.0]}}, {"id": 1, "vector": {"a": [2.0], "b": [3.0]}, "payload": {"x": {"y": [1, None]}}}, {"id": 2}]
+    named = spark.createDataFrame([], oplog.state_schema(["a", "b"]))
+    one = spark.createDataFrame([(5, "upsert", json.dumps({"points": points}))], oplog.LOG_SCHEMA)
+    for state in (oplog.replay_log(named, one), oplog.replay(named, [(5, "upsert", {"points": points})])):
+        rows = {r["id"]: (r["version"], json.loads(r["payload"]), r["vector_a"], r["vector_b"]) for r in state.collect()}
+        assert rows == {1: (5, {"x": {"y": [1, None]}}, [2.0], [3.0]), 2: (5, {}, None, None)}
+
+
+def test_uuid_points(spark):
+    from tessera.sources.points import canonical_id, from_rows, point_id
+
+    plain = "936da01f-9abd-4d9d-80c7-02af85c822a8"
+    forms = [plain, plain.replace("-", ""), f"urn:uuid:{plain}", plain.upper(), "{" + plain + "}"]
+    assert {point_id(x) for x in forms} == {plain}
+    df = spark.createDataFrame([(x,) for x in [*forms, "007"]], "x string")
+    assert [r[0] for r in df.select(canonical_id(F.col("x"))).collect()] == [plain] * 5 + ["7"]
+    with pytest.raises(ValueError):
+        point_id("neither")
+    rows = from_rows(spark, [{"id": 1, "vector": [1.0]}, {"id": forms[3], "vector": [2.0]}])
+    assert sorted(r["id"] for r in rows.collect()) == ["1", plain]
+    state = oplog.replay(spark.createDataFrame([], oplog.state_schema([""], "string")), [(1, "upsert", {"points": [{"id": forms[1], "vector": [1.0]}, {"id": 3}]}), (2, "delete", {"ids": [3]}), (3, "set_payload", {"payload": {"a": 1}, "ids": [forms[3]]})])
+    assert [(r["id"], r["version"], json.loads(r["payload"])) for r in state.collect()] == [(plain, 3, {"a": 1})]
+
+
+def test_absent_points_are_errors_of_requests(spark):
+    state = oplog.replay(spark.createDataFrame([], oplog.state_schema([""])), [(1, "upsert", {"points": [{"id": 1, "vector": [1.0]}]})])
+    for kind, body in (("set_payload", {"payload": {}, "ids": [1, 2]}), ("update_vectors", {"points": [{"id": 2, "vector": [1.0]}]}), ("clear_payload", {"ids": [2]})):
+        with pytest.raises(KeyError, match="2"):
+            oplog.apply_op(state, 2, kind, body, strict=True)
+    assert oplog.apply_op(state, 2, "delete", {"ids": [2]}, strict=True).count() == 1
+
+
+def test_limits_and_manifests(spark, tmp_path):
+    from tessera.sources.catalog import Rate
+
+    with pytest.raises(ValueError):
+        StrictMode(max_batch=1).check_batch([{}, {}])
+    with pytest.raises(ValueError):
+        StrictMode(max_upsert=1).check_update("upsert", {"batch": {"ids": [1, 2]}})
+    now = [0.0]
+    rate = Rate(60, lambda: now[0])
+    rate.take(60)
+    with pytest.raises(RuntimeError):
+        rate.take()
+    now[0] = 1.0
+    rate.take()
+    catalog = Catalog(spark, str(tmp_path))
+    catalog.create("c", spark.range(5), Config("id", strict={"read_rate": 1}))
+    first = catalog.manifest("c")
+    assert first and catalog.partial_snapshot("c", first) == {"fetch": [], "drop": []}
+    catalog.query("c", {})
+    with pytest.raises(RuntimeError):
+        catalog.query("c", {})
+    catalog.replace("c", spark.range(3))
+    assert catalog.partial_snapshot("c", first) == {"fetch": sorted(catalog.manifest("c")), "drop": sorted(first)}
+    artifact = {"version": 1, "members": [[0], [1]], "nodes": [[1.0], [2.0]]}
+    routing.validate({**artifact, "checksum": routing.checksum(artifact)}, 2)
+    with pytest.raises(ValueError):
+        routing.validate({**artifact, "checksum": "0"}, 2)
+
+
+def test_stored_indexes(spark, tmp_path):
+    from tessera.functions.text import Tokenizer
+    from tessera.sources import indexes
+
+    texts = ["a b a b c", "b a", "the the end", None, "", "c c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    indexes.write_text(df, "id", F.col("t"), Tokenizer(), str(tmp_path / "t"), 4)
+    ask = lambda q, mode: sorted(r["id"] for r in indexes.match_text(spark, str(tmp_path / "t"), q.split(), mode, 4).collect())
+    assert ask("a b", "all") == [0, 1] and ask("a b", "phrase") == [0] and ask("b a b", "phrase") == [0]
+    assert ask("the the", "phrase") == [2] and ask("c c", "phrase") == [5] and ask("c end", "any") == [0, 2, 5]
+    assert ask("", "all") == ask("", "any") == ask("", "phrase") == ask("absent", "all") == []
+    plan = indexes.match_text(spark, str(tmp_path / "t"), ["a"], "all", 4)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "(bucket#" in plan and "EqualTo(token,a)" in plan
+    v = spark.createDataFrame([(1, ([0, 5], [1.0, 2.0])), (2, ([], [])), (3, None), (4, ([5], [-1.0]))], "id long, v struct<indices: array<long>, values: array<double>>")
+    indexes.write_sparse(v, "id", "v", str(tmp_path / "v"), 4)
+    assert {r["id"]: r["score"] for r in indexes.search_sparse(spark, str(tmp_path / "v"), {5: 2.0, 0: 1.0}, 4).collect()} == {1: 5.0, 4: -2.0}
+    assert indexes.search_sparse(spark, str(tmp_path / "v"), {}, 4).count() == 0
+
+
+def test_product_codes_of_nulls_and_training(spark):
+    from tessera.operators import quantized
+
+    books = quantized.product_books(np.random.default_rng(0).normal(size=(200, 6)), 2, 8)
+    assert [np.shape(b) for b in books] == [(8, 2)] * 3
+    x = [float(c) for c in books[0][3] + books[1][1] + books[2][7]]
+    df = spark.createDataFrame([(0, x), (1, None), (2, x)], "id int, v array<double>").coalesce(1)
+    assert [r["c"] for r in df.select(vectors.product_codes(F.col("v"), books).alias("c")).collect()] == [[3, 1, 7], None, [3, 1, 7]]
+
+
+def test_older_shapes():
+    from tessera.plans import legacy
+
+    assert legacy.search_request({"vector": {"name": "a", "vector": [1.0]}, "limit": 3}) == {"query": {"nearest": [1.0]}, "using": "a", "limit": 3}
+    assert legacy.search_request({"vector": {"indices": [1], "values": [2.0]}})["query"] == {"nearest": {"indices": [1], "values": [2.0]}}
+    assert legacy.discover_request({"context": []})["query"] == {"context": []}
