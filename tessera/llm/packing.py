@@ -9,6 +9,9 @@ histogram allows. Documents then find their place by their rank among the pieces
 
 cost(capacity) = capacity + BIN_COST: padding is paid for, and every bin costs a little.
 
+`pack` takes any length; the query and the pipeline's stage pack tokens of a public vocabulary (tokens.py), so
+`start`, `length`, `offset` and `capacity` count tokens there.
+
 A document longer than the largest capacity is cut into full pieces and a rest; nothing is truncated or
 dropped. Defined cases: null or empty texts make one piece of length 0, which takes no room: it lies in
 bin -1 with capacity 0; repeated rows and ids are packed row by row; an empty table has no bins; columns
@@ -25,8 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import read, work_table
+from tessera.llm.tokens import token_count
 
-#: In characters.
+#: In tokens.
 CAPACITIES = (2048, 4096, 8192, 16384)
 BIN_COST = 16
 #: Pieces of one length that are numbered in one task.
@@ -132,9 +136,9 @@ def pack(docs: DataFrame, length: Column, keep: list[str], order: list[Column],
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return pack(docs, F.length("text"), ["doc_id"], [F.col("doc_id"), F.col("text")])
+    return pack(docs, token_count(F.col("text")), ["doc_id"], [F.col("doc_id"), F.col("text")])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: where each piece of each document lies in the packed sequences."""
-    return pack(docs, F.length("text"), ["doc_id"], [F.col("doc_id"), F.col("text")])
+    return pack(docs, token_count(F.col("text")), ["doc_id"], [F.col("doc_id"), F.col("text")])
