@@ -26,9 +26,10 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import math
-import re
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +42,9 @@ from tessera.llm.shingles import mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, ALPHA, SEED = 2, 1.0, 0
-#: Characters of the texts that are searched together (or one text), and of the lattices kept for the next.
-CHUNK, KEPT = 1 << 18, 3 << 20
-_UNIT = re.compile("\n|▁+[^▁\n]*|[^▁\n]+")
-_BASE = np.uint64(0x9E3779B97F4A7C13)
+#: Characters of the texts that are searched together (or one text), and arcs of the lattices kept for the next.
+CHUNK, KEPT = 1 << 18, 6 << 20
+_BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C13), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _uniform(key: np.ndarray, *places) -> np.ndarray:
@@ -73,9 +73,32 @@ class Vocabulary:
         self.hashes = np.array(sorted(table), np.uint64)
         self.ids = np.array([table[int(h)][0] for h in self.hashes], np.int32)
         self.weights = np.array([table[int(h)][1] for h in self.hashes])
+        # where the search for a hash begins; the next slots follow, and -1 ends it
+        bits = len(self.hashes).bit_length() + 2
+        self.to_slot = np.uint64(64 - bits)
+        self.slots = np.full((1 << bits) + len(self.hashes), -1, np.int32)
+        for i, slot in enumerate(self._slot(self.hashes).tolist()):
+            while self.slots[slot] >= 0:
+                slot += 1
+            self.slots[slot] = i
         self.byte_weight = -alpha * math.log(n)
         self.bytes = [self.model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
 
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return ((h * _SPREAD) >> self.to_slot).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The numbers of the beginnings with these hashes, -1 for none."""
+        slot = self._slot(h)
+        i = self.slots[slot]
+        on = np.flatnonzero((i >= 0) & (self.hashes[i] != h))
+        while len(on):
+            slot[on] += 1
+            x = self.slots[slot[on]]
+            i[on] = x
+            on = on[(x >= 0) & (self.hashes[x] != h[on])]
+        return i
+
     @staticmethod
     def _hashes(piece: str) -> list[int]:
         out, h = [], 0
@@ -88,161 +111,207 @@ class Vocabulary:
         return "▁" + text.replace(" ", "▁") if text else ""
 
     def decode(self, ids: Sequence[int]) -> str:
-        return self.model.decode(ids.tolist() if isinstance(ids, np.ndarray) else list(ids))
+        return self.model.decode(ids if isinstance(ids, np.ndarray) else list(ids))
+
+
+@cache
+def vocabulary_of(model: str = MODEL, alpha: float = ALPHA) -> Vocabulary:
+    """One for each Python worker."""
+    return Vocabulary(model, alpha)
 
 
 class Lattices:
-    """The lattices of units, one after another: places (each unit has one for its end, too) and their arcs,
-    in the order of places and lengths. Units of earlier calls are kept until they take KEPT places."""
+    """The lattices of units, one after another, as their arcs in the order of places and lengths. A place is
+    known by its first arc, a unit by that of its first place. Units of earlier calls are kept until they take
+    KEPT arcs."""
 
-    PLACES, ARCS = (("rest", np.int32), ("codes", np.uint32), ("first", np.int64)), (("length", np.int32), ("arc_id", np.int32), ("cdf", np.float32), ("log_p", np.float64))
+    # cdf and log_p: within the place. arc_id: a piece, or -1 - c for the bytes of character c. goes: the place
+    # behind it, -1 for the unit's end. rank: the number in its place
+    FIELDS = (("cdf", np.float32), ("log_p", np.float64), ("arc_id", np.int32), ("goes", np.int64), ("rank", np.uint16))
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}  # unit -> its first place
-        self.used, self.arcs_used = 0, 0  # the arrays have room for more
-        for name, kind in self.PLACES + self.ARCS:
+        self.index: dict[bytes, int] = {}  # unit as UTF-32 -> its first place
+        self.used = 0  # the arrays have room for more
+        for name, kind in self.FIELDS:
             setattr(self, name, np.zeros(1, kind))
 
-    def _put(self, fields: tuple, base: int, new: list[np.ndarray]) -> None:
-        """Writes rows from base on, and leaves one more behind them."""
-        n = len(new[0])
-        for (name, kind), values in zip(fields, new, strict=True):
+    def _put(self, new: list[np.ndarray]) -> None:
+        """Writes arcs behind the others, and leaves one more behind them."""
+        n = self.used + len(new[0])
+        for (name, kind), values in zip(self.FIELDS, new, strict=True):
             old = getattr(self, name)
-            if base + n + 1 > len(old):
-                whole = np.zeros(max(len(old) * 3 // 2, base + n + 1), kind)
-                whole[:base] = old[:base]
+            if n + 1 > len(old):
+                whole = np.zeros(max(len(old) * 2, n + 1), kind)
+                whole[: self.used] = old[: self.used]
                 setattr(self, name, whole)
-            getattr(self, name)[base : base + n] = values
+            getattr(self, name)[self.used : n] = values
+        self.used = n
 
-    def add(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """The first places of each text's units."""
+    def add(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The first places of all units, and where each text's begin among them."""
         if self.used > KEPT:
             self.clear()
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        begins = np.concatenate([[0], np.cumsum(np.array([len(t) for t in texts], np.int64))])
+        if not len(codes):
+            return np.empty(0, np.int64), begins
+        # a unit begins with a text, with a line break and behind it, and with a run of spaces
+        is_line, is_space = codes == 10, codes == 0x2581
+        cut = is_line.copy()
+        cut[begins[:-1][begins[1:] > begins[:-1]]] = True
+        cut[1:] |= is_line[:-1]
+        cut[1:] |= is_space[1:] & ~is_space[:-1]
+        at = np.append(np.flatnonzero(cut), len(codes))
+        kinds = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at * 4), pa.py_buffer(codes)]).dictionary_encode()
+        _, ends, data = kinds.dictionary.buffers()
+        data = data.to_pybytes()
+        units = [data[a:b] for a, b in itertools.pairwise(np.frombuffer(ends, np.int64, len(kinds.dictionary) + 1).tolist())]
         known = self.index.get
-        found = [np.array([known(u, -1) for u in us], np.int64) for us in texts]
-        gaps = [np.flatnonzero(x < 0) for x in found]
-        new = dict.fromkeys(us[i] for us, gap in zip(texts, gaps, strict=True) for i in gap.tolist())
-        if new:
-            self._extend(list(new))
-            for us, x, gap in zip(texts, found, gaps, strict=True):
-                x[gap] = [known(us[i]) for i in gap.tolist()]
-        return found
-
-    def _extend(self, units: list[str]) -> None:
-        v, base = self.v, self.used
-        lengths = np.array([len(u) for u in units], np.int64)
-        begins = np.concatenate([[0], np.cumsum(lengths + 1)])
-        n = int(begins[-1])
-        self.index.update(zip(units, (begins[:-1] + base).tolist(), strict=True))
-        codes = np.frombuffer("".join(u + "\0" for u in units).encode("utf-32-le", "surrogatepass"), np.uint32)
-        rest = np.repeat(lengths, lengths + 1) - (np.arange(n) - np.repeat(begins[:-1], lengths + 1))
-        live, found = np.flatnonzero(rest > 0), []
-        h, alone = np.zeros(len(live), np.uint64), live
+        of = np.array([known(u, -1) for u in units], np.int64)
+        if len(gaps := np.flatnonzero(of < 0)):
+            of[gaps] = self._extend([units[i] for i in gaps.tolist()])
+        return of[kinds.indices.to_numpy()], np.searchsorted(at, begins)
+
+    def _extend(self, units: list[bytes]) -> np.ndarray:
+        """Adds units, and returns their first places."""
+        v = self.v
+        lengths = np.array([len(u) for u in units], np.int64) >> 2
+        ends = np.cumsum(lengths)
+        codes = np.frombuffer(b"".join(units), np.uint32).astype(np.uint64)
+        n = len(codes)
+        rest = np.repeat(ends, lengths) - np.arange(n)
+        count, found = np.zeros(n, np.uint16), []
+        live, h = np.arange(n), np.zeros(n, np.uint64)
         for k in range(v.longest):  # only beginnings of pieces go on
             if k:
-                more = rest[live] > k
+                more = np.flatnonzero(rest[live] > k)
                 live, h = live[more], h[more]
             if not len(live):
                 break
             h = h * _BASE + (codes[live + k] + np.uint64(1))
-            i = np.minimum(np.searchsorted(v.hashes, h), len(v.hashes) - 1)
-            hit = v.hashes[i] == h
+            i = v.find(h)
+            hit = np.flatnonzero(i >= 0)
             live, h, i = live[hit], h[hit], i[hit]
-            is_piece = v.ids[i] >= 0
-            found.append((live[is_piece], k + 1, v.ids[i[is_piece]], v.weights[i[is_piece]]))
+            is_piece = np.flatnonzero(v.ids[i] >= 0)
+            place, i = live[is_piece], i[is_piece]
+            found.append((place, k + 1, count[place], v.ids[i], v.weights[i]))
+            count[place] += 1
             if not k:
-                alone = np.setdiff1d(alone, found[0][0], assume_unique=True)  # by bytes
-        size = np.select([codes[alone] < 0x80, codes[alone] < 0x800, codes[alone] < 0x10000], [1, 2, 3], 4)
-        found.insert(0, (alone, 1, np.full(len(alone), -1, np.int32), v.byte_weight * size))
-        place = np.concatenate([x[0] for x in found])
-        length = np.concatenate([np.full(len(x[0]), x[1], np.int64) for x in found])
-        order = np.lexsort((length, place))
-        place, length = place[order], length[order]
-        arc_id, weight = (np.concatenate([x[c] for x in found])[order] for c in (2, 3))
-        first = np.searchsorted(place, np.arange(n))
+                alone = np.flatnonzero(count == 0)  # by bytes
+                c = codes[alone].astype(np.int64)
+                size = np.select([c < 0x80, c < 0x800, c < 0x10000], [1, 2, 3], 4)
+                found.append((alone, 1, count[alone], -1 - c, v.byte_weight * size))
+                count[alone] = 1
+        first = np.append(np.cumsum(count, dtype=np.int64) - count, 0)
+        total_arcs = int(count.sum(dtype=np.int64))
+        arc_id, weight, length = np.empty(total_arcs, np.int32), np.empty(total_arcs), np.empty(total_arcs, np.uint16)
+        for place, size, rank, ids, weights in found:
+            at = first[place] + rank
+            arc_id[at], weight[at], length[at] = ids, weights, size
         # from the ends of the units on: exact sums, and each place's cumulated probabilities
-        total, cdf = np.zeros(n + 1), np.empty(len(place))
-        by = np.argsort(rest[place], kind="stable")
-        bounds = np.searchsorted(rest[place][by], np.arange(int(rest.max()) + 2))
-        for r in range(1, len(bounds) - 1):
-            a = by[bounds[r] : bounds[r + 1]]
-            at = place[a]
-            starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            count = np.diff(np.append(starts, len(a)))
-            w = weight[a] + total[at + length[a]]
-            top = np.maximum.reduceat(w, starts)
-            e = np.exp(w - np.repeat(top, count))
-            mass = np.add.reduceat(e, starts)
-            total[at[starts]] = top + np.log(mass)
-            e = np.cumsum(e)
-            e -= np.repeat(np.concatenate([[0.0], e[starts[1:] - 1]]), count)
-            e /= np.repeat(mass, count)
-            e[starts + count - 1] = 1.0
-            cdf[a] = e
-        log_p = weight + total[place + length] - total[place]
-        self._put(self.PLACES, base, [rest, codes, first + self.arcs_used])
-        self._put(self.ARCS, self.arcs_used, [length, arc_id, cdf, log_p])
-        self.used += n
-        self.arcs_used += len(place)
-        self.first[self.used] = self.arcs_used
+        places = np.argsort(rest.astype(np.uint16) if rest.max() < 1 << 16 else rest, kind="stable")
+        bounds = np.searchsorted(rest[places], np.arange(1, int(rest.max()) + 2))
+        counts = count[places].astype(np.int64)
+        starts = np.append(0, np.cumsum(counts))
+        ranks = np.arange(total_arcs) - np.repeat(starts[:-1], counts)
+        by = np.repeat(first[places], counts) + ranks
+        end = np.repeat(places, counts) + length[by]
+        last = length[by] == np.repeat(rest[places], counts)
+        end[last] = n
+        total, w, e, mass = np.zeros(n + 1), weight[by], np.empty(total_arcs), np.empty(n)
+        for p, q in itertools.pairwise(bounds.tolist()):
+            a, b = starts[p], starts[q]
+            segments, times = starts[p:q] - a, counts[p:q]
+            x = w[a:b]
+            x += total[end[a:b]]
+            top = np.maximum.reduceat(x, segments)
+            y = np.exp(x - np.repeat(top, times), out=e[a:b])
+            m = np.add.reduceat(y, segments)
+            mass[p:q] = m
+            total[places[p:q]] = top + np.log(m)
+        w -= np.repeat(total[places], counts)
+        ranks = np.append(ranks, 0)
+        on, r = np.flatnonzero(ranks == 1), 1
+        while len(on):
+            e[on] += e[on - 1]
+            on, r = on + 1, r + 1
+            on = on[ranks[on] == r]
+        e /= np.repeat(mass, counts)
+        e[starts[1:] - 1] = 1.0
+        cdf, log_p, goes, rank = np.empty(total_arcs, np.float32), np.empty(total_arcs), np.empty(total_arcs, np.int64), np.empty(total_arcs, np.uint16)
+        cdf[by], log_p[by], rank[by] = e, w, ranks[:-1]
+        goes[by] = np.where(last, -1, first[end] + self.used)
+        begins = first[ends - lengths] + self.used
+        self.index.update(zip(units, begins.tolist(), strict=True))
+        self._put([cdf, log_p, arc_id, goes, rank])
+        return begins
 
     def arcs(self, place: int) -> np.ndarray:
         """The log probabilities of the arcs of one place."""
-        return self.log_p[self.first[place] : self.first[place + 1]]
+        n = int((self.rank[place + 1 : place + 1 + self.v.longest] == 0).argmax()) + 1
+        return self.log_p[place : place + n]
 
-    def walk(self, start: np.ndarray, key: np.ndarray, unit: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Paths from the places `start` to their units' ends: (row of start, place, arc) in path order.
+    def walk(self, start: np.ndarray, key: np.ndarray, unit: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+        """Paths from the places `start` (-1: none) to their units' ends: how many arcs each has, and the arcs.
         key: mixed already."""
-        rows, places, arcs, steps = [], [], [], []
-        row, at, step = np.arange(len(start)), start, 0
-        live = self.rest[at] > 0
-        row, at = row[live], at[live]
+        row = np.flatnonzero(start >= 0)
+        arc, count, steps = start[row], np.zeros(len(start), np.int64), []
         number = mix(np.arange(int(unit.max(initial=0)) + 1, dtype=np.uint64), salt)
         base = mix(key[row] ^ number[unit[row]], 13)
         while len(row):
-            u, arc = _uniform(base, step), self.first[at]
+            u = _uniform(base, len(steps))
             on = np.flatnonzero(self.cdf[arc] < u)
-            while len(on):
-                arc[on] += 1
-                on = on[self.cdf[arc[on]] < u[on]]
-            rows.append(row)
-            places.append(at)
-            arcs.append(arc)
-            steps.append(len(row))
-            at = at + self.length[arc]
-            live = self.rest[at] > 0
-            row, at, base, step = row[live], at[live], base[live], step + 1
-        if not rows:
-            none = np.empty(0, np.int64)
-            return none, none, none
-        r = np.concatenate(rows)
-        order = np.argsort(r, kind="stable")  # the steps are in order already
-        return r[order], np.concatenate(places)[order], np.concatenate(arcs)[order]
-
-    def ids(self, place: np.ndarray, arc: np.ndarray) -> np.ndarray:
+            if len(on):
+                at, limit = arc[on], u[on]
+                while True:
+                    at += 1
+                    more = self.cdf[at] < limit
+                    if not more.any():
+                        arc[on] = at
+                        break
+                    stays = ~more
+                    arc[on[stays]] = at[stays]
+                    on, at, limit = on[more], at[more], limit[more]
+            count[row] += 1
+            steps.append((row, arc))
+            arc = self.goes[arc]
+            live = np.flatnonzero(arc >= 0)
+            row, arc, base = row[live], arc[live], base[live]
+        first = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.int64)
+        for step, (row, arc) in enumerate(steps):
+            out[first[row] + step] = arc
+        return count, out
+
+    def ids(self, arc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of arcs, and for each arc and the end where its ids begin."""
         out = self.arc_id[arc]
-        alone = np.flatnonzero(out < 0)
-        if not len(alone):
-            return out
-        parts = [[self.v.bytes[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in self.codes[place[alone]].tolist()]
         times = np.ones(len(out), np.int64)
-        times[alone] = [len(x) for x in parts]
-        whole = np.repeat(out, times)
-        whole[whole < 0] = [i for x in parts for i in x]
-        return whole
+        alone = np.flatnonzero(out < 0)
+        kinds, which = np.unique(-1 - out[alone], return_inverse=True)
+        spelled = [[self.v.bytes[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in kinds.tolist()]
+        times[alone] = np.array([len(x) for x in spelled], np.int64)[which]
+        begins = np.append(0, np.cumsum(times))
+        if len(alone):
+            out = np.repeat(out, times)
+            for j in range(4):
+                has = times[alone] > j
+                out[begins[alone[has]] + j] = np.array([x[j] if j < len(x) else -1 for x in spelled], np.int32)[which[has]]
+        return out, begins
 
 
 class _Search:
-    """The search over one text's segmentations; its walks are made together with those of other texts."""
+    """The search over one text's segmentations; its walks are made together with those of other texts. A path
+    has each arc's unit, its arcs, and the log probability before each arc and at the end."""
 
-    __slots__ = ("done", "heap", "key", "paths", "starts", "units")
+    __slots__ = ("done", "heap", "paths", "units")
 
-    def __init__(self, key: int, units: np.ndarray, root: float):
-        self.key, self.units = key, units
+    def __init__(self, units: np.ndarray, root: float):
+        self.units = units
         self.heap: list[tuple] = [(-root, 0, -1, 0, ())]
         self.paths: list[tuple] = []
         self.done: list[tuple[float, float]] = []
@@ -251,34 +320,34 @@ class _Search:
 def sample(vocabulary: Vocabulary, texts: list[str | None], keys: Sequence[int], k: int = SAMPLES, seed: int = SEED, lattices: Lattices | None = None) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to k samples (ids, log probability, perturbed log probability, log inclusion score)."""
     lattices = lattices or Lattices(vocabulary)
-    places_of = lattices.add([_UNIT.findall(vocabulary.prepare(t or "")) for t in texts])
+    places, cut = lattices.add([vocabulary.prepare(t or "") for t in texts])
     seeds = mix(np.array([x & 0xFFFFFFFFFFFFFFFF for x in keys], np.uint64), seed + 17)
     roots = -np.log(-np.log(_uniform(seeds, 1 << 40)))
-    searches = [_Search(int(s), u, float(g)) for s, u, g in zip(seeds, places_of, roots, strict=True)]
+    searches = [_Search(places[a:b], g) for (a, b), g in zip(itertools.pairwise(cut.tolist()), roots.tolist(), strict=True)]
     for turn in range(k):
         todo, start, begins = [], [], []
         draws = _uniform(seeds, turn, 1 << 41)
         for n, s in enumerate(searches):
             if not s.heap or not len(s.units):
                 continue
-            top = heapq.heappop(s.heap)
-            value, _, parent, j, excluded = top
+            value, _, parent, j, excluded = heapq.heappop(s.heap)
             if parent < 0:
                 head, begin, places = None, 0, s.units
             else:
-                unit_of, place, _, _ = s.paths[parent]
-                o, p = int(unit_of[j]), int(place[j])
-                share = np.exp(lattices.arcs(p))
+                unit_of, arcs, _ = s.paths[parent]
+                begin, arc = int(unit_of[j]), int(arcs[j])
+                first = arc - int(lattices.rank[arc])
+                share = np.exp(lattices.arcs(first))
                 share[list(excluded)] = 0.0
                 u = float(draws[n]) * share.sum()
                 new = min(int((np.cumsum(share) < u).sum()), len(share) - 1)
                 while not share[new]:
                     new -= 1
-                arc = int(lattices.first[p]) + new
-                head, begin = (parent, j, arc), o
-                places = s.units[o:].copy()
-                places[0] = p + lattices.length[arc]
-            todo.append((n, value, head, begin, excluded))
+                share[new] = 0.0
+                head = (parent, j, first + new, (*excluded, new), share.sum())
+                places = s.units[begin:].copy()
+                places[0] = lattices.goes[first + new]
+            todo.append((n, value, head))
             start.append(places)
             begins.append(begin)
         if not todo:
@@ -287,60 +356,76 @@ def sample(vocabulary: Vocabulary, texts: list[str | None], keys: Sequence[int],
         first = np.cumsum(owner) - owner
         unit = np.arange(int(owner.sum())) + np.repeat(np.array(begins) - first, owner)
         own = seeds[[x[0] for x in todo]]
-        row, place, arc = lattices.walk(np.concatenate(start), np.repeat(mix(own, 11), owner), unit, turn + 1)
-        unit_at = unit[row]
-        cut = np.searchsorted(row, np.append(first, owner.sum()))
+        count, arc = lattices.walk(np.concatenate(start), np.repeat(mix(own, 11), owner), unit, turn + 1)
+        unit_at = np.repeat(unit.astype(np.int32), count)
+        cut = np.append(0, np.cumsum(count))[np.append(first, len(unit))]
         log_p = lattices.log_p[arc]
-        leaving = []
-        for i, (n, value, head, begin, excluded) in enumerate(todo):
+        before, shift, split = np.empty(len(arc)), [], []
+        for (n, value, head), a, b in zip(todo, *(x.tolist() for x in (cut[:-1], cut[1:])), strict=True):
             s = searches[n]
-            a, b = cut[i], cut[i + 1]
-            path = (unit_at[a:b], place[a:b], arc[a:b], log_p[a:b])
-            j = 0
-            if head is not None:
-                parent, j, new = head
+            if head is None:
+                sums = np.zeros(b - a + 1)
+                np.cumsum(log_p[a:b], out=sums[1:])
+                path = (unit_at[a:b], arc[a:b], sums)
+                before[a:b] = sums[:-1]
+                shift.append(-a)
+            else:
+                parent, j, new, _, left = head
                 old = s.paths[parent]
-                p = old[1][j]
-                one = (np.array([begin]), np.array([p]), np.array([new]), lattices.log_p[new : new + 1])
-                path = tuple(np.concatenate([x[:j], y, z]) for x, y, z in zip(old, one, path, strict=True))
-            before = np.concatenate([[0.0], np.cumsum(path[3])])
+                sums = np.concatenate([old[2][j : j + 1], lattices.log_p[new : new + 1], log_p[a:b]])
+                np.cumsum(sums, out=sums)
+                before[a:b] = sums[1:-1]
+                path = (np.concatenate([old[0][: j + 1], unit_at[a:b]]), np.concatenate([old[1][:j], [new], arc[a:b]]), np.concatenate([old[2][:j], sums]))
+                shift.append(j + 1 - a)
+                split.append((j, float(path[2][j]), left))
             s.paths.append(path)
-            s.done.append((float(before[-1]), -value))
-            # what leaves this path at each step, from the node's own step on
-            other = -np.expm1(path[3][j:])
-            if head is not None:
-                left = np.exp(lattices.arcs(int(path[1][j])))
-                new -= int(lattices.first[path[1][j]])
-                left[[*excluded, new]] = 0.0
-                other[0] = left.sum()
-            at = np.flatnonzero(other > 1e-13)
-            gone = (*excluded, new) if head is not None else None
-            leaving.append((s, j, at + j, before[j:-1][at] + np.log(other[at]), np.full(len(at), value), gone))
-        steps = np.concatenate([x[2] for x in leaving])
-        mass = np.concatenate([x[3] for x in leaving])
-        e = -np.log(_uniform(np.repeat(own, [len(x[2]) for x in leaving]), turn, 1 << 42, steps))
-        gumbel = mass - np.log(np.exp(np.minimum(mass + np.concatenate([x[4] for x in leaving]), 700.0)) + e)
-        most, done = k - turn + 1, 0
-        for s, j, at, _, _, gone in leaving:
-            g = gumbel[done : done + len(at)]
-            done += len(at)
-            _, place, arc, _ = s.paths[-1]
-            best = np.argpartition(-g, most - 1)[:most] if len(g) > most else np.arange(len(g))
-            for x in best.tolist():
-                step = int(at[x])
-                out = gone if gone and step == j else (int(arc[step] - lattices.first[place[step]]),)
-                heapq.heappush(s.heap, (-float(g[x]), len(s.paths), len(s.paths) - 1, step, out))
-    result = []
+            s.done.append((float(path[2][-1]), -value))
+
+        def perturbed(key: np.ndarray, steps: np.ndarray, mass: np.ndarray, value: np.ndarray, turn: int = turn) -> np.ndarray:
+            e = -np.log(_uniform(key, turn, 1 << 42, steps))
+            return mass - np.log(np.exp(np.minimum(mass + value, 700.0)) + e)
+
+        # what leaves the paths at each step, from the nodes' own steps on
+        other = -np.expm1(log_p)
+        at = np.flatnonzero(other > 1e-13)
+        inside = np.searchsorted(at, cut)
+        times = np.diff(inside)
+        values = np.array([x[1] for x in todo])
+        step = at + np.repeat(np.array(shift), times)
+        gumbel = perturbed(np.repeat(own, times), step, before[at] + np.log(other[at]), np.repeat(values, times))
+        places_at = arc[at]
+        out_at = lattices.rank[places_at]
+        for (n, _, head), a, b in zip(todo, *(x.tolist() for x in (inside[:-1], inside[1:])), strict=True):
+            s, g, most = searches[n], gumbel[a:b], k - turn
+            last = len(s.paths) - 1
+            best = range(b - a) if b - a <= most else [int(g.argmax())] if most == 1 else np.argpartition(g, -most)[-most:].tolist()
+            for x in best:
+                heapq.heappush(s.heap, (-float(g[x]), last + 1, last, int(step[a + x]), (int(out_at[a + x]),)))
+        if split:
+            mine = [i for i, x in enumerate(todo) if x[2] is not None]
+            j, sums, left = (np.array(x) for x in zip(*split, strict=True))
+            some = np.flatnonzero(left > 1e-13)
+            mine = np.array(mine)[some]
+            g = perturbed(own[mine], j[some], sums[some] + np.log(left[some]), values[mine])
+            for i, x in zip(mine.tolist(), g.tolist(), strict=True):
+                n, _, (_, j, _, gone, _) = todo[i]
+                s = searches[n]
+                heapq.heappush(s.heap, (-x, len(s.paths), len(s.paths) - 1, j, gone))
+    paths = [p[1] for s in searches for p in s.paths]
+    ids, begins = lattices.ids(np.concatenate([np.empty(0, np.int64), *paths]))
+    cut = begins[np.cumsum([0, *map(len, paths)])].tolist()
+    result, done = [], 0
     for s in searches:
         if not len(s.units):
             result.append([(np.empty(0, np.int32), 0.0, 0.0, 0.0)])
             continue
         limit = -s.heap[0][0] if s.heap else -math.inf
         out = []
-        for (_, place, arc, _), (log_p, value) in zip(s.paths, s.done, strict=True):
+        for log_p, value in s.done:
             x = log_p - limit
             q = 0.0 if x > 5 else math.log(-math.expm1(-math.exp(x))) if x > -30 else x
-            out.append((lattices.ids(place, arc), log_p, value, q))
+            out.append((ids[cut[done] : cut[done + 1]], log_p, value, q))
+            done += 1
         result.append(out)
     return result
 
@@ -366,7 +451,7 @@ def encode(df: DataFrame, key: str, text: str, k: int = SAMPLES, alpha: float =
     rows = _keyed(df, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(model, alpha)
+        vocabulary = vocabulary_of(model, alpha)
         lattices = Lattices(vocabulary)
         for batch in batches:
             at = 0
@@ -395,7 +480,7 @@ def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _keyed(read(spark, sf_dir, "documents"), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary()
+        vocabulary = vocabulary_of()
         lattices = Lattices(vocabulary)
         for batch in batches:
             at = 0

@@ -131,6 +131,58 @@ def test_sampling_without_replacement(vocabulary):
     assert np.mean([sum(math.exp(x[1] - x[3]) for x in d) for d in draws]) == pytest.approx(1, abs=0.02)  # inclusion scores weigh to 1
 
 
+def test_units_of_a_batch_are_looked_up_once(vocabulary):
+    """The work for a repeated word is in numpy and Arrow; Python sees each word of a batch once."""
+
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *x):
+            self.asked += 1
+            return super().get(*x)
+
+        def __getitem__(self, x):
+            self.asked += 1
+            return super().__getitem__(x)
+
+    lattices = pieces.Lattices(vocabulary)
+    lattices.index = Counting()
+    texts = ["the cat sat on the mat\n" * 50] * 20
+    got = pieces.sample(vocabulary, texts, range(20), lattices=lattices)
+    assert all(vocabulary.decode(x[0]) == t for t, xs in zip(texts, got, strict=True) for x in xs)
+    assert lattices.index.asked <= 10  # 7 kinds of units, 7,000 units
+
+
+@settings(max_examples=200, deadline=None)
+@given(texts=st.lists(st.text(st.sampled_from("ab \n▁\0éſ日😀\ud800"), max_size=20), max_size=6))
+def test_units_of_texts(vocabulary, texts):
+    """Units begin with runs of spaces and around line breaks, and equal units have one place."""
+    prepared = [vocabulary.prepare(t) for t in texts]
+    want = [re.findall("\n|▁+[^▁\n]*|[^▁\n]+", t) for t in prepared]
+    lattices = pieces.Lattices(vocabulary)
+    places, cut = lattices.add(prepared)
+    names = {place: unit.decode("utf-32-le", "surrogatepass") for unit, place in lattices.index.items()}
+    assert [[names[p] for p in places[a:b].tolist()] for a, b in itertools.pairwise(cut.tolist())] == want
+    assert set(names.values()) == {u for us in want for u in us} and len(names) == len(lattices.index)
+
+
+def test_hashes_of_pieces_are_found(vocabulary):
+    assert (vocabulary.find(vocabulary.hashes) == np.arange(len(vocabulary.hashes))).all()
+    other = np.setdiff1d(vocabulary.hashes + np.uint64(1), vocabulary.hashes)
+    assert len(other) and (vocabulary.find(other) == -1).all()
+
+
+def test_samples_do_not_depend_on_neighbours(vocabulary):
+    texts = ["the cat  sat\n", None, "日本 é😀", "", "a\0b ▁x", "x" * 500] + [f"word{i} the" for i in range(300)]
+    whole = pieces.sample(vocabulary, texts, range(len(texts)), k=3)
+    for i in (*range(8), 300):
+        (alone,) = pieces.sample(vocabulary, [texts[i]], [i], k=3)
+        assert [(x[0].tolist(), *x[1:]) for x in alone] == [(x[0].tolist(), *x[1:]) for x in whole[i]]
+    # as the first version of the search drew them
+    digest = hashlib.sha256(b"".join(x[0].astype("<i4").tobytes() for xs in whole for x in xs)).hexdigest()
+    assert digest == "929b5da3dfb92f4b684eacf13fdfd543405d532539e9a67d4a14500a32dac45b"
+
+
 def test_segmentations_by_row_key(spark, vocabulary):
     df = docs(spark, ["the cat sat on the mat", None, "", "x" * 3000 + " é😀", "the cat sat on the mat"]).union(docs(spark, ["the cat sat on the mat"]))
     got = pieces.decode(pieces.encode(df.withColumn("ids", F.lit(1)), "doc_id", "text", k=3).repartition(3)).collect()
